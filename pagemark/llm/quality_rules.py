@@ -113,10 +113,10 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 def judged(counted: DataFrame, prefix: str = "") -> DataFrame:
     """``counted`` (a stored table) with base_failed and kept.
 
-    Thresholds come by an ordinary join on (lang, source): Spark sends the small side to all
-    tasks only while its size is known to be small, and splits a common source's rows else.
+    Thresholds are stored first, so their size is known: Spark sends them to all tasks while
+    they are below its limit, and shuffles (and splits a common source's rows) only beyond it.
     """
-    limits = thresholds(sketches(counted, prefix))
+    limits = materialise(thresholds(sketches(counted, prefix)), "limits")
     within = F.lit(True)
     for m in METRICS:
         within = within & (_rate(m, prefix) <= F.col(f"max_{m}"))
