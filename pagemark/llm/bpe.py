@@ -19,7 +19,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import docs_of, fields, map_texts, pick
+from .common import docs_of, fields, held, map_texts, pick
 from .tokens import vocabulary_path
 
 #: Distinct pieces of text kept between batches in one worker.
@@ -242,14 +242,9 @@ class PairIndexBPE:
                 gc.enable()
 
 
-_loaded: dict[str, PairIndexBPE] = {}
-
-
 def bpe(path: str) -> PairIndexBPE:
     """This worker's encoder for ``path``; kept between tasks."""
-    if path not in _loaded:
-        _loaded[path] = PairIndexBPE(path)
-    return _loaded[path]
+    return held(("bpe", path), lambda: PairIndexBPE(path))
 
 
 def encode_texts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -72,6 +72,20 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(df[f"`{c}`"] if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """One thing a Python worker keeps between tasks; asking for another lets go of it.
+
+    Workers serve many steps, so what each keeps would otherwise add up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

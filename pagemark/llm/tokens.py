@@ -17,8 +17,10 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from .common import held
+
 #: Distinct pieces kept in one Python worker; beyond it, the store starts anew.
-MAX_PIECES = 600_000
+MAX_PIECES = 500_000
 #: White space other than the plain space and the line feed.
 _ODD = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -214,12 +216,7 @@ class Encoder:
         return np.concatenate([*parts, ids[total[at] :]]), sizes
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for ``path``; kept between tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))

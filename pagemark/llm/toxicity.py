@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, docs_of, fields, map_texts, materialise, pick
+from .common import discard, docs_of, fields, held, map_texts, materialise, pick
 from .quality_model import labelled
 from .tokens import ragged
 
@@ -30,7 +30,7 @@ BATCH, ROUNDS, LEARNING_RATE = 128, 2, 0.01
 STEPS = (220, 160)
 THRESHOLD = 0.7
 #: Distinct words kept in one worker.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 #: Words of the log-odds table that choose the first windows; those seen in few texts are left out.
 TELLING, LEAST_TEXTS = 20_000, 3
 
@@ -420,16 +420,11 @@ def _platt(s: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
 
 # -- scoring ----------------------------------------------------------------------------------
 
-_readers: dict[int, Reader] = {}
-
 
 def _reader(parameters: dict[str, np.ndarray]) -> Reader:
     """This worker's reader; kept between tasks with the same network."""
-    key = zlib.crc32(parameters["w"].tobytes() + parameters["Uf"].tobytes())
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(parameters)
-    return _readers[key]
+    key = zlib.crc32(b"".join(parameters[k].tobytes() for k in sorted(parameters)))
+    return held(("reader", key), lambda: Reader(parameters))
 
 
 def score(texts: list[str], model: dict | None) -> list[float]:
@@ -455,8 +450,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scorer = _scorer(docs, labels)
     scored = map_texts(pick(docs, doc_id="long", text="string"), lambda texts: {"score": scorer(texts)}, fields(score="double"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", apart.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
