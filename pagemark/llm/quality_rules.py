@@ -106,7 +106,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     lang = _limits(named, ["every", "lang"]).select(F.col("lang").alias("l"), F.col("docs").alias("l_docs"), *[F.col(m).alias(f"l_{m}") for m in METRICS])
     every = _limits(named, ["every"]).select(F.col("every").alias("e"), *[F.col(m).alias(f"e_{m}") for m in METRICS])
     both = pair.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(every, F.col("every") == F.col("e"), "left")
-    chosen = [F.when(F.col("docs") >= MIN_GROUP, F.col(m)).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{m}")).otherwise(F.col(f"e_{m}")).alias(f"max_{m}") for m in METRICS]
+    chosen = [F.when(F.col("docs") >= MIN_GROUP, F.col(m)).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{m}")).otherwise(F.col(f"e_{m}")).alias(f"__pm_max_{m}") for m in METRICS]
     return both.select(F.col("lang").alias("__pm_tl"), F.col("source").alias("__pm_ts"), *chosen)
 
 
@@ -119,7 +119,7 @@ def judged(counted: DataFrame, prefix: str = "") -> DataFrame:
     limits = materialise(thresholds(sketches(counted, prefix)), "limits")
     within = F.lit(True)
     for m in METRICS:
-        within = within & (_rate(m, prefix) <= F.col(f"max_{m}"))
+        within = within & (_rate(m, prefix) <= F.col(f"__pm_max_{m}"))
     on = F.col(f"{prefix}lang").eqNullSafe(F.col("__pm_tl")) & F.col(f"{prefix}source").eqNullSafe(F.col("__pm_ts"))
     joined = counted.join(limits, on, "left")
     return joined.select(*[F.col(f"`{c}`") for c in counted.columns], _failed(prefix).alias(f"{prefix}base_failed"), (~_failed(prefix) & F.coalesce(within, F.lit(False))).alias(f"{prefix}kept"))
