@@ -80,51 +80,65 @@ class _Stock:
 def plan_sequences(counts: np.ndarray, limit: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used, for ``counts[length]`` pieces.
 
-    From the longest length down, the gap that it leaves is looked up among single lengths, sums
-    of two and sums of three, each under what is still there; such patterns fill a sequence
-    exactly. What finds no exact partner goes by best fit, longest first. The input is a
-    histogram of ``limit`` numbers, whatever the number of documents.
+    From the longest length down, the gap that a length leaves is looked up among single
+    lengths; then, for what is left, among sums of two, and then of three, each under what is
+    still there. Such patterns fill a sequence exactly. What finds no exact partner goes by best
+    fit, longest first. Taking many short pieces for exact fits can leave long ones alone, so
+    the plan is made with sums up to each size and the one with the fewest sequences stands. The
+    input is a histogram of ``limit`` numbers, whatever the number of documents.
     """
-    stock = _Stock(counts)
+    plans = []
+    for most in (3, 2, 1, 0):
+        stock = _Stock(counts)
+        stock.take((limit,))
+        for parts in range(1, most + 1):
+            _exact(stock, limit, parts)
+        plans.append(stock.plan + _best_fit(stock.left, limit))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def _exact(stock: _Stock, limit: int, parts: int) -> None:
+    """Use up exact fillings of a length's gap with ``parts`` pieces."""
     left = stock.left
-    stock.take((limit,))
     for long in range(limit - 1, 0, -1):
         while left[long]:
             left[long] -= 1  # one of them is the base while its partners are looked up
-            found = _complement(left, limit - long)
+            found = _complement(left, limit - long, parts)
             left[long] += 1
             if found is None or not stock.take((long, *found)):
                 break
-    # Best fit: open sequences by their gap; each run of equal lengths goes to the tightest gap.
-    gaps: dict[int, list[list]] = {}
+
+
+def _best_fit(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, longest first, for whole runs of equal lengths; open sequences by their gap."""
+    gaps: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for long in range(limit, 0, -1):
-        n = int(left[long])
+        n = int(counts[long])
         while n:
             gap = next((g for g in range(long, limit) if gaps.get(g)), None)
             if gap is None:
                 fit = limit // long
                 whole, rest = divmod(n, fit)
                 if whole:
-                    gaps.setdefault(limit - fit * long, []).append([(long,) * fit, whole])
+                    gaps.setdefault(limit - fit * long, []).append(((long,) * fit, whole))
                 if rest:
-                    gaps.setdefault(limit - rest * long, []).append([(long,) * rest, 1])
+                    gaps.setdefault(limit - rest * long, []).append(((long,) * rest, 1))
                 break
             held, times = gaps[gap].pop()
             used = min(n, times)
             if times > used:
-                gaps[gap].append([held, times - used])
-            gaps.setdefault(gap - long, []).append([(*held, long), used])
+                gaps[gap].append((held, times - used))
+            gaps.setdefault(gap - long, []).append(((*held, long), used))
             n -= used
-    return stock.plan + [(tuple(h), t) for runs in gaps.values() for h, t in runs]
+    return [run for runs in gaps.values() for run in runs]
 
 
-def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to ``gap``; longest parts first."""
-    if left[gap] > 0:
-        return (gap,)
-    pair = _pair(left, gap)
-    if pair:
-        return pair
+def _complement(left: np.ndarray, gap: int, parts: int) -> tuple[int, ...] | None:
+    """That many available lengths that sum to ``gap``; longest parts first."""
+    if parts == 1:
+        return (gap,) if left[gap] > 0 else None
+    if parts == 2:
+        return _pair(left, gap)
     for a in np.flatnonzero(left[1 : gap - 1] > 0)[::-1] + 1:
         if 3 * a < gap:
             break
