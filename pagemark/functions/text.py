@@ -14,19 +14,21 @@ MIN_LEN, MAX_LEN = 3, 32
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<word, pos>> of all matches, with their offsets in code points.
 
-    Offsets are running sums of the lengths of gaps and matches; meant for pages and lines,
-    whose size is bounded.
+    Offsets are running sums of the lengths of gaps and matches. They are gathered as one string,
+    since adding to an array copies all its elements; meant for pages and lines, whose size is
+    bounded.
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<word:string,pos:int>>")
+    sizes = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), found, lambda g, w: F.struct(F.length(g).alias("g"), F.length(w).alias("w")))
 
     def step(acc: Column, x: Column) -> Column:
-        at = acc["end"] + F.length(x["gap"])
-        return F.struct(F.array_append(acc["out"], F.struct(x["word"].alias("word"), at.alias("pos"))).alias("out"), (at + F.length(x["word"])).alias("end"))
+        at = acc["end"] + x["g"]
+        return F.struct(F.concat(acc["at"], F.lit(","), at.cast("string")).alias("at"), (at + x["w"]).alias("end"))
 
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda w, g: F.struct(w.alias("word"), g.alias("gap")))
-    return F.aggregate(pairs, F.struct(empty.alias("out"), F.lit(0).alias("end")), step, lambda acc: acc["out"])
+    places = F.split(F.substring(F.aggregate(sizes, F.struct(F.lit("").alias("at"), F.lit(0).alias("end")), step, lambda acc: acc["at"]), 2, 1 << 30), ",")
+    empty = F.array().cast("array<struct<word:string,pos:int>>")
+    return F.when(F.size(found) == 0, empty).otherwise(F.zip_with(found, places, lambda w, p: F.struct(w.alias("word"), p.cast("int").alias("pos"))))
 
 
 def cut_pages(text: Column, size: int = PAGE_CHARS) -> Column:

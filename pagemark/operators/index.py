@@ -18,8 +18,9 @@ def page_map(pages: DataFrame) -> DataFrame:
 def tokens(pages: DataFrame, lengths: bool = True) -> DataFrame:
     """(doc, page_no, pos, word) of the body pages; within the row, so nothing is shuffled."""
     low = pages.where("page_no > 0").select("doc", "page_no", F.lower("text").alias("low"))
-    rows = low.select("doc", "page_no", F.explode(matches(F.col("low"), WORD)).alias("t")).select("doc", "page_no", "t.pos", "t.word")
-    return rows.where(F.length("word").between(MIN_LEN, MAX_LEN)) if lengths else rows
+    # An outer explode: for a plain one, Spark would work out the array once more as a filter.
+    rows = low.select("doc", "page_no", F.explode_outer(matches(F.col("low"), WORD)).alias("t")).select("doc", "page_no", "t.pos", "t.word")
+    return rows.where(F.length("word").between(MIN_LEN, MAX_LEN) if lengths else F.col("word").isNotNull())
 
 
 def fields(pages: DataFrame) -> DataFrame:
@@ -63,7 +64,11 @@ def postings(pages: DataFrame, stops: list[str] = (), stems: bool = True, vocabu
     body = tokens(pages).select("doc", "page_no", "pos", "word")
     heads = field_tokens(pages)
     words = body.union(heads.select("doc", F.lit(0), "pos", "word"))
-    coded = words.join(terms(words, list(stops), stems, vocabulary), "word")
+    if stems or vocabulary is not None:
+        coded = words.join(terms(words, list(stops), stems, vocabulary), "word")
+    else:  # forms are their own terms
+        coded = words.where(~F.col("word").isin(*stops)) if stops else words
+        coded = coded.select("doc", "page_no", "pos", F.col("word").alias("term"), F.lit("form").alias("kind"))
     marks = heads.select(F.concat(F.lit("&"), "key").alias("term"), F.lit("field").alias("kind"), "doc", F.lit(0).alias("page_no"), (F.col("pos") - 1).alias("pos")).distinct()
     every = coded.select("term", "kind", "doc", "page_no", "pos").union(marks)
     return every.join(page_map(pages).select("doc", "page_no", "start"), ["doc", "page_no"]).select("term", "kind", "doc", "page_no", "pos", (F.col("start") + F.col("pos")).alias("coord"))

@@ -12,6 +12,7 @@ from .functions import text as tx
 from .operators import index, rank, words
 from .plans.query import Either, Word, parse, radius
 from .plans.query import words as leaves_of
+from .shared import spread
 from .sources import pages as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "Lang")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("lang", "Lang")
     return sources.from_rows(docs, "documents", "doc_id", "text", ["Lang", "source"])
 
 

@@ -13,3 +13,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemark-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` if it comes from fewer files than there are cores."""
+    few = len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(key) if few else df
