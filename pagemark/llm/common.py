@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,11 +84,21 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     Workers serve many steps, so what each keeps would otherwise add up.
     """
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held[key] = make()
     return _held[key]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

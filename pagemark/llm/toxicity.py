@@ -30,7 +30,7 @@ BATCH, ROUNDS, LEARNING_RATE = 128, 2, 0.01
 STEPS = (220, 160)
 THRESHOLD = 0.7
 #: Distinct words kept in one worker.
-MAX_WORDS = 200_000
+MAX_WORDS = 120_000
 #: Words of the log-odds table that choose the first windows; those seen in few texts are left out.
 TELLING, LEAST_TEXTS = 20_000, 3
 
