@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 WS = r"[\x20\x09-\x0D]+"
 #: Characters handed to a Python kernel at once; a longer text goes alone.
 BATCH_CHARS = 4_000_000
+#: Bytes of rows that Spark hands to Python at once, at most (one longer row goes alone).
+BATCH_BYTES = 8 << 20
 
 _roots: dict[str, str] = {}
 
@@ -115,13 +117,26 @@ def chunks(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-def map_texts(df: DataFrame, kernel: Callable[[list[str]], dict], fields: T.StructType, column: str = "text") -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``.
+
+    Spark's own 64 MB is held several times over by each task, in the JVM and in Python. A
+    lower setting stays as it is.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def map_texts(df: DataFrame, kernel: Callable[[list[str]], dict], fields: T.StructType, column: str = "text", keep: bool = False) -> DataFrame:
     """Add to each row what ``kernel`` makes of its text; null counts as the empty text.
 
     ``kernel`` gets a list of texts and returns a dict of equally long columns. The column
-    ``column`` is dropped; carry a copy under another name to keep it.
+    ``column`` is dropped unless ``keep``.
     """
-    rest = [c for c in df.columns if c != column]
+    small_batches(df.sparkSession)
+    rest = [c for c in df.columns if keep or c != column]
     schema = T.StructType([*[df.schema[c] for c in rest], *fields])
     kinds = {f.name: _arrow(f.dataType) for f in fields}
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, docs_of, materialise, pick
+from .common import chunks, docs_of, materialise, pick, small_batches
 from .tokens import encoder, vocabulary_path
 
 SEQUENCE = 2048
@@ -54,6 +54,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, limit: int = SEQUENCE, end_id: i
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    small_batches(docs.sparkSession)
     rows = pick(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 

@@ -298,7 +298,7 @@ def redact_texts(docs: DataFrame) -> DataFrame:
     Null texts stay null. All rows and all other columns stay as they are.
     """
     new = "__pm_text"
-    masked = map_texts(docs.withColumn("__pm_source", F.col("text").cast("string")).withColumn("__pm_null", F.col("text").isNull()), lambda texts: {new: [redact(t) for t in texts]}, fields(**{new: "string"}), column="__pm_source")
+    masked = map_texts(docs.withColumn("__pm_null", F.col("text").isNull()), lambda texts: {new: [redact(t) for t in texts]}, fields(**{new: "string"}))
     out = {c: F.col(f"`{c}`") for c in docs.columns}
     out["text"] = F.when(~F.col("__pm_null"), F.col(new)).alias("text")
     if "n_chars" in out:

@@ -458,7 +458,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that score below ``threshold``, with their columns."""
     scorer = _scorer(docs, labels)
     name = "__pm_toxic"
-    scored = map_texts(docs.withColumn("__pm_source", F.col("text").cast("string")), lambda texts: {name: scorer(texts)}, fields(**{name: "double"}), column="__pm_source")
+    scored = map_texts(docs, lambda texts: {name: scorer(texts)}, fields(**{name: "double"}), keep=True)
     return scored.where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
