@@ -1,4 +1,4 @@
-"""English stems by the published Snowball English (Porter2) algorithm, and language by alphabet."""
+"""Stems by the published Snowball algorithms (English: Porter2, here), and language by alphabet."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .stem_more import stem_de, stem_ru
+
 _V = "aeiouy"
 # Fixed values of the published algorithm.
 _EXCEPT = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
@@ -82,19 +84,29 @@ def stem_en(word: str) -> str:
     return w.lower()
 
 
+# The first alphabet that covers a word names its language.
+_ALPHABETS = (("digits", "^[0-9]+$"), ("ru", "^[а-яё]+$"), ("en", "^[a-z]+$"), ("de", "^[a-zßẞäüö]+$"), ("fr", "^[a-zàâçéèêëîïôûùüÿñæœ]+$"))
+_STEMMERS = {"ru": stem_ru, "en": stem_en, "de": stem_de}
+
+
 def language(word: Column) -> Column:
     """The first alphabet that covers the word: digits, ru, en, de, fr; null if none does."""
-    order = (("digits", "^[0-9]+$"), ("ru", "^[а-яё]+$"), ("en", "^[a-z]+$"), ("de", "^[a-zẞäüö]+$"), ("fr", "^[a-zàâçéèêëîïôûùüÿñæœ]+$"))
     out = F.when(F.lit(False), F.lit(""))
-    for name, pattern in order:
+    for name, pattern in _ALPHABETS:
         out = out.when(word.rlike(pattern), name)
     return out
 
 
+def stem_word(word: str) -> str | None:
+    """The stem of a Russian, English or German word, by its alphabet; None for others."""
+    name = next((n for n, pattern in _ALPHABETS if re.fullmatch(pattern[1:-1], word)), None)
+    return _STEMMERS[name](word) if name in _STEMMERS else None
+
+
 def _stems(words: pd.Series) -> pd.Series:
-    return words.map(stem_en, na_action="ignore")
+    return words.map(stem_word, na_action="ignore")
 
 
 def stem(word: Column) -> Column:
-    """The stem of English words, else null; meant for distinct words."""
-    return F.when(language(word) == "en", F.pandas_udf(_stems, StringType())(word))
+    """The stem of Russian, English and German words, else null; meant for distinct words."""
+    return F.when(language(word).isin(*_STEMMERS), F.pandas_udf(_stems, StringType())(word))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stem import stem_en
+from ..functions.stem import stem_word
 from .query import Both, Either, Word, radius, words
 
 WILDCARDS = 100
@@ -26,7 +26,7 @@ def leaf_terms(dictionary: DataFrame, leaves: list[Word], stems: bool, symmetric
             found = found.select(F.lit(i).alias("leaf"), "term")
             wild = found if wild is None else wild.union(found)
             continue
-        s = stem_en(w.text) if stems and w.text.isascii() and w.text.isalpha() else w.text
+        s = stem_word(w.text) or w.text if stems else w.text
         if w.exact or s == w.text:
             fixed.append((i, w.text))
             if symmetric and not w.exact:

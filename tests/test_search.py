@@ -7,7 +7,8 @@ import re
 import pytest
 
 from pagemark.engine import Engine
-from pagemark.functions.stem import stem_en
+from pagemark.functions.stem import stem_en, stem_word
+from pagemark.functions.stem_more import stem_de, stem_ru
 from pagemark.operators import index, rank
 from pagemark.plans.query import Both, Either, QueryError, Word, parse, radius
 from pagemark.sources import pages as sources
@@ -153,6 +154,22 @@ def test_stems():
     assert {w: stem_en(w) for w in pairs} == pairs
 
 
+def test_stems_of_other_languages():
+    german = {"aufeinander": "aufeinand", "kategorische": "kategor", "häuser": "haus", "möglichkeiten": "moglich", "käuflich": "kauflich"}
+    russian = {"вагонов": "вагон", "важнейшие": "важн", "важничал": "важнича", "важностию": "важност", "валяется": "валя", "в": "в"}
+    assert {w: stem_de(w) for w in german} == german
+    assert {w: stem_ru(w) for w in russian} == russian
+    assert [stem_word(w) for w in ("häuser", "вагоны", "ladies", "été", "123", "a1", "")] == ["haus", "вагон", "ladi", None, None, None, None]
+
+
+def test_russian_and_german_words_are_found_by_stem(spark):
+    docs = [("A", "Два вагона, один вагон. Die Straßen und Häuser.", 1)]
+    e = Engine.build(documents(spark, docs))
+    text = docs[0][1].lower()
+    assert [r.pos for r in e.search("вагонов").hits.collect()] == [text.index("вагона")]
+    assert [r.pos for r in e.search("häusern").hits.collect()] == [text.index("häuser")]
+
+
 def test_empty_index(spark):
     e = Engine.build(documents(spark, []))
     assert e.search("old lady").hits.count() == 0 and e.dictionary.count() == 0
