@@ -1,8 +1,12 @@
-"""SimHash near-duplicates by tiled exact comparison of 64-bit fingerprints."""
+"""Near-duplicates: SimHash by tiled exact comparison of 64-bit fingerprints, and shingle sets.
+
+``op1_simhash`` is the SimHash contract. The pipeline's ``near_dedup`` links texts by the exact
+Jaccard of their word shingles, with MinHash bands for candidates.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, docs_of, fields, map_texts, materialise, pick
+from .common import discard, docs_of, fields, map_texts, materialise, pick, small_batches
 from .components import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -176,21 +180,141 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+#: A near copy: as many of the two texts' distinct shingles are shared as NEAR says (4 of 5: Jaccard 0.8).
+NEAR = (4, 5)
+#: MinHash bands and values in each; a pair at Jaccard 0.8 meets in no band with chance 3e-6.
+BANDS, BAND_ROWS = 24, 4
+_MIX = np.random.default_rng(5).integers(0, 1 << 64, (3, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles(texts: list[str], words: int = 5) -> list[np.ndarray]:
+    """The distinct hashed word shingles of each text, ascending; a shorter text is one shingle."""
+    digest = xxhash.xxh64_intdigest
+    out = []
+    for text in texts:
+        parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        joined = b" ".join(parts)
+        if len(parts) <= words:
+            hashed = [digest(joined, 42)] if parts else []
+        else:
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+            starts = np.concatenate(([0], ends[:-words] + 1))
+            hashed = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist())]
+        out.append(np.unique(np.array(hashed, dtype=np.uint64)))
+    return out
+
+
+def set_keys(sets: list[np.ndarray]) -> list[int]:
+    """A signed 64-bit name of each set of shingles."""
+    return np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64).tolist()
+
+
+def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
+    """The MinHash bucket of each set in every band; none for an empty set."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    out: list[list[int]] = [[] for _ in sets]
+    if not len(full):
+        return out
+    every = np.concatenate([sets[i] for i in full])
+    starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+    keys = np.empty((len(full), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(full), band, dtype=np.uint64)
+        for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+            key = (key + np.minimum.reduceat((every ^ _MIX[0, k]) * _MIX[1, k], starts)) * _MIX[2, k]
+            key ^= key >> np.uint64(31)
+        keys[:, band] = key
+    for i, row in zip(full.tolist(), keys.view(np.int64).tolist()):
+        out[i] = row
+    return out
+
+
+def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets in ``sets(node, n, items)`` have a Jaccard of NEAR or more."""
+    few, many = NEAR
+    a, b = (sets.selectExpr(f"node AS {x}", f"n AS n{x}", f"items AS s{x}") for x in "uv")
+    # Sizes alone rule out pairs before any set is sent.
+    sized = pairs.join(a.select("u", "nu"), "u").join(b.select("v", "nv"), "v").where(f"least(nu, nv) * {many} >= greatest(nu, nv) * {few}").select("u", "v")
+    both = sized.join(a.select("u", "su"), "u").join(b.select("v", "sv"), "v").select("u", "v", "su", "sv")
+    small_batches(pairs.sparkSession)
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("su"), batch.column("sv")):
+                p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared * many >= (len(p) + len(q) - shared) * few)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(confirm, "u long, v long")
+
+
+def near_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes that have near copies; root is the smallest node reachable.
+
+    ``nodes(node, bands)`` holds each set of shingles once; ``sets`` gives (node, n, items) of
+    a table of nodes. Nodes that share a bucket are candidates. First each is compared with
+    the smallest node of its buckets, which joins large bunches without quadratic output.
+    Then, in every bucket, nodes outside that one's class are compared with all nodes of other
+    classes, so no candidate pair is left open: it is compared, or its ends are linked already.
+    """
+    spark = nodes.sparkSession
+    dealt = materialise(nodes.select("node", F.explode("bands").alias("bucket")), "dedup-buckets")
+    centres = dealt.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    shared = materialise(dealt.join(centres, "bucket"), "dedup-shared")
+    star = materialise(shared.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "dedup-star")
+    found = materialise(sets(shared.select("node").distinct()), "dedup-sets")
+    links = materialise(near_links(star, found), "dedup-links")
+    roots = materialise(connected_components(links, "dedup-cc"), "dedup-roots")
+    named = shared.join(roots, "node", "left").select("bucket", "node", "centre", F.coalesce("root", "node").alias("root"))
+    main = named.where("node = centre").select("bucket", F.col("root").alias("main"))
+    named = materialise(named.join(main, "bucket"), "dedup-named")
+    odd = named.where("root <> main").select("bucket", F.col("node").alias("o"), F.col("root").alias("r"))
+    rest = named.where("node <> centre").select("bucket", "node", "root")
+    cross = odd.join(rest, (odd["bucket"] == rest["bucket"]) & (odd["r"] != rest["root"])).select(F.greatest("o", "node").alias("u"), F.least("o", "node").alias("v")).distinct()
+    cross = materialise(cross.join(star, ["u", "v"], "left_anti"), "dedup-cross")
+    more = materialise(near_links(cross, found), "dedup-more")
+    discard(spark, dealt, shared, star, found, links, named, cross)
+    if more.isEmpty():
+        return roots
+    every = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
+    return materialise(connected_components(every, "dedup-cc"), "dedup-roots")
+
+
+def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of each near-duplicate class of ``docs``, with all its columns.
 
-    The row with the smallest doc_id stays (null doc_ids last, ties by the text's hash), and
-    rows with that same doc_id and text count as one. Nulls are handled as in
-    ``simhash_groups``.
+    Two texts are linked if their sets of ``words``-word shingles (words by ASCII white space,
+    in ASCII lower case) have a Jaccard of NEAR or more; a class is all that links reach.
+    MinHash bands give the candidates, and each link is confirmed on the whole sets. Null and
+    empty texts (and those of white space) are one class. The row with the smallest doc_id
+    stays (null doc_ids last, ties by the text's hash), and rows with that same doc_id and text
+    count as one.
     """
     key = "__pm_key"
     keyed = docs.withColumn(key, F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("i"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h")))
-    fps = materialise(with_fingerprint(keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")), words), "dedup")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("key").alias("rep")), "dedup-nodes")
-    found = materialise(links(nodes.select("fp"), radius), "dedup-links")
-    roots = materialise(connected_components(found, "dedup-cc"), "dedup-roots")
-    discard(docs.sparkSession, found, fps)
-    kept = nodes.join(roots, nodes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.i").alias("__pm_i"), F.col("rep.h").alias("__pm_h"))
+    plain = keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+
+    def sketch(texts: list[str]) -> dict[str, list]:
+        sets = shingles(texts, words)
+        return {"node": set_keys(sets), "bands": band_keys(sets)}
+
+    def whole(texts: list[str]) -> dict[str, list]:
+        sets = shingles(texts, words)
+        return {"node": set_keys(sets), "n": [len(s) for s in sets], "items": [s.tobytes() for s in sets]}
+
+    rows = materialise(map_texts(plain, sketch, fields(node="long", bands="longs")), "dedup")
+    nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("rep"), F.any_value("bands").alias("bands")), "dedup-nodes")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        reps = nodes.join(some, "node", "left_semi").select(F.col("rep").alias("key"))
+        chosen = plain.join(reps, "key", "left_semi").dropDuplicates(["key"])
+        return map_texts(chosen, whole, fields(node="long", n="long", items="binary")).drop("key")
+
+    roots = near_classes(nodes.select("node", "bands"), sets_of)
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.i").alias("__pm_i"), F.col("rep.h").alias("__pm_h"))
     held = keyed.withColumns({"__pm_i": F.col(f"{key}.i"), "__pm_h": F.col(f"{key}.h")}).drop(key)
     one = held.join(kept, ["__pm_i", "__pm_h"], "left_semi").dropDuplicates(["__pm_i", "__pm_h"])
     return one.select(*[F.col(f"`{c}`") for c in docs.columns])

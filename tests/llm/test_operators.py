@@ -108,6 +108,32 @@ def test_near_dedup_keeps_one_of_each_class(docs, clash, none):
     assert 2 in ids and 5 not in ids and None not in ids and ids.count(12) == 1 and ids.count(9) == 1 and 10 not in ids
 
 
+def test_near_dedup_links_edited_copies(spark):
+    """The classes are those of all pairs of 5-word shingle sets with a Jaccard of 0.8 or more."""
+    rng = random.Random(21)
+    texts = []
+    for b in range(25):
+        base = words(rng.choice((60, 90, 200)), 500 + b).split()
+        texts.append(base)
+        for _ in range(7):
+            copy = list(rng.choice(texts[-3:]) if rng.random() < 0.3 else base)
+            for _ in range(rng.randint(1, max(2, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = "edit%d" % rng.randrange(10**6)
+            texts.append(copy)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in zip(order, texts)}
+    label = {i: i for i in sets}
+    for _ in range(8):
+        for i in sets:
+            for j in sets:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(order, texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.near_dedup(docs).collect()}
+    assert kept == set(label.values()) and 25 <= len(kept) < len(texts) - 50
+
+
 def repeats(w):
     c = Counter(zip(w, w[1:], w[2:]))
     hit = set()
