@@ -126,9 +126,11 @@ _DIGIT_WORDS = (
 )
 DIGIT_WORDS = {w: str(d) for names in _DIGIT_WORDS for d, w in enumerate(names.split())} | {"oh": "0"}
 _NAMES = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: Four or more digits in a row of which the first is spelled, with "plus" before them perhaps.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s-]+)?(?:(?:{_NAMES}|[0-9])[\s,.-]+){{3,}}(?:{_NAMES}|[0-9])(?![^\W_])", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"(?<![^\W_])(plus|{_NAMES}|[0-9])(?![^\W_])([\s,.-]*)", re.IGNORECASE)
+#: Names of digits and groups of figures in a row, with "plus" before them perhaps.
+_ITEM = rf"(?:{_NAMES}|[0-9]++)(?![^\W_])"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s-]++)?{_ITEM}(?:[\s,.-]++{_ITEM})*+", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"(?<![^\W_])(plus|{_NAMES}|[0-9]+)(?![^\W_])([\s,.-]*)", re.IGNORECASE)
+_WORD = re.compile(r"[^\W_]+")
 _FEW_NAMES = re.compile(rf"(?<![^\W_])(?:{_NAMES})(?![^\W_])", re.IGNORECASE)
 
 # Words for "at" and "dot" that disguises use.
@@ -223,19 +225,31 @@ def _beyond_latin(text: str) -> bool:
 def disguised_spans(text: str) -> list[Span]:
     """Spans that only the normalised text shows, in source offsets."""
     t = plain_glyphs(Traced(text)) if _beyond_latin(text) else None
-    words = (t.text if t else text).lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
-    if not DIGIT_WORDS.keys().isdisjoint(words) and sum(w in DIGIT_WORDS for w in words) >= 3:
-        t = written_digits(t or Traced(text))
-    if not _DOT_WORDS.isdisjoint(words) or any(c in text for c in "[({<"):
-        t = signs(t or Traced(text))
-    if t is None or t.text == text:
+    plain = t.text if t else text
+    named = not DIGIT_WORDS.keys().isdisjoint(_WORD.findall(plain.lower()))
+    words = plain.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
+    signed = not _DOT_WORDS.isdisjoint(words) or any(c in text for c in "[({<")
+    if not (t or named or signed):
         return []
-    out = []
-    for k, detect in enumerate(_DETECTORS):
-        for a, b in detect(t.text):
-            s, e = t.source(a, b)
-            if text[s:e] != t.text[a:b]:  # plain ones are the base's
-                out.append((s, k, e))
+    t = t or Traced(text)
+    # Written digits make a form of their own: their names may as well be parts of an address.
+    forms = [t, written_digits(t)] if named else [t]
+    if signed:
+        forms = [signs(form) for form in forms]
+    found = set()
+    for form in forms:
+        if form.text == text:
+            continue
+        for k, detect in enumerate(_DETECTORS):
+            for a, b in detect(form.text):
+                s, e = form.source(a, b)
+                if text[s:e] != form.text[a:b]:  # plain ones are the base's
+                    found.add((k, s, -e))
+    # Of one kind, a span within another form's span is a part of it.
+    out: list[Span] = []
+    for k, s, e in sorted(found):
+        if not out or out[-1][1] != k or out[-1][2] < -e:
+            out.append((s, k, -e))
     return out
 
 

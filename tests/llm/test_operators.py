@@ -237,6 +237,25 @@ def test_pii_leaves_prose_alone(text):
     assert pii.find_spans(text) == ([], []) and pii.redact(text) == text
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("ring plus 4 9 1 5 1 five 2 3 4 5 six 7 today", "plus 4 9 1 5 1 five 2 3 4 5 six 7"),
+        ("ring +49 151 2345 six seven eight.", "+49 151 2345 six seven eight"),
+        ("(plus four nine 151 2345 six 7 8; thanks)", "plus four nine 151 2345 six 7 8"),
+        ("+49 (151) 2345 six 7 eight", "+49 (151) 2345 six 7 eight"),
+    ],
+)
+def test_pii_few_written_digits(text, span):
+    every = pii.find_spans(text)[1]
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in every] == [("phone", span)]
+
+
+def test_pii_digit_names_in_addresses():
+    text = "1985.one at example dot com"
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.find_spans(text)[1]] == [("email", text)]
+
+
 def test_pii_rows(docs, clash, none):
     got = pii.pii_spans(docs).collect()
     assert len(got) == len(ROWS) and rows_of(pii.pii_spans(clash)) == rows_of(pii.pii_spans(docs)) and pii.pii_spans(none).count() == 0
