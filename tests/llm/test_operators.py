@@ -508,6 +508,26 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(*tool_calls.calls_and_results(empty), SCHEMAS).count() == 0
 
 
+def test_tool_calls_with_repeated_identifiers(spark):
+    call = lambda i, q, after=(): json.dumps({"tool_calls": [{"id": i, "name": "find", "arguments": {"q": q}, "after": list(after)}]})
+    result = lambda i, content: json.dumps({"tool_call_id": i, "content": content})
+    messages = [
+        (1, 1, "assistant", call("call_0", "one")), (1, 2, "tool", result("call_0", "r1")), (1, 3, "assistant", call("call_1", "two", ["call_0"])),
+        (1, 5, "assistant", call("call_0", "three", ["call_1"])), (1, 6, "tool", result("call_0", "r3")), (1, 7, "tool", result("call_0", "again")),
+        (2, 1, "assistant", call("call_0", "four")), (3, 1, "tool", result("call_0", "lone")), (4, 1, "assistant", call("call_0", "five")), (4, 2, "tool", result("call_0", "r5")),
+        (5, 1, "assistant", call("x", "six")), (5, 1, "assistant", call("x", "seven")), (5, 2, "tool", result("x", "a")), (5, 2, "tool", result("x", "b")),
+    ]
+    table = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    got = tool_calls.link_tool_calls(*tool_calls.calls_and_results(table), SCHEMAS).collect()
+    q = lambda r: r.call_json and json.loads(r.call_json)["arguments"]["q"]
+    content = lambda r: r.result_json and json.loads(r.result_json)["content"]
+    assert sorted(((r.conv_id, r.call_id, r.status, r.level, q(r), content(r), r.n_calls, r.n_results) for r in got), key=str) == sorted([
+        (1, "call_0", "answered", 0, "one", "r1", 2, 3), (1, "call_1", "unanswered", 1, "two", None, 1, 0), (1, "call_0", "answered", 2, "three", "r3", 2, 3), (1, "call_0", "extra", None, None, "again", 2, 3),
+        (2, "call_0", "unanswered", 0, "four", None, 1, 0), (3, "call_0", "orphan", None, None, "lone", 0, 1), (4, "call_0", "answered", 0, "five", "r5", 1, 1),
+        (5, "x", "answered", 0, "seven", "a", 2, 2), (5, "x", "answered", 0, "six", "b", 2, 2),
+    ], key=str)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + k) for k in range(1, 50)] + [(5, 5), (None, 3), (7000, 7001), (7000, 7001)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
