@@ -27,13 +27,16 @@ _roots: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The folder for this application's scratch tables, below ``spark.checkpoint.dir``.
 
-    Where that setting is absent (local tests), a temporary folder is used. The folder goes
-    when the JVM ends.
+    Where that setting is absent, a local master (a test, say) gets a temporary folder; on a
+    cluster executors would not share one, so that is an error. The folder goes when the JVM
+    ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
             base = "file://" + tempfile.mkdtemp(prefix="pagemark-")
         root = f"{base.rstrip('/')}/scratch-{app}"
         jvm = spark.sparkContext._jvm
@@ -69,12 +72,21 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def pick(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns, cast; an absent column counts as null.
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named c0, c1, ... by place, and the new name of each old one.
 
-    Names are matched exactly, so extra columns of any name do no harm.
+    Spark matches names without regard to case, so a table with ``text`` and ``TEXT`` cannot be
+    read by name. Here names are matched exactly, the first of equal ones counts, and columns
+    that an operator adds under other names can clash with none of the table's.
     """
-    return df.select(*[(df[f"`{c}`"] if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(reversed(df.columns), reversed(names)))
+
+
+def pick(df: DataFrame, **types: str) -> DataFrame:
+    """Only the named columns, cast; an absent column counts as null. Other columns do no harm."""
+    placed, at = by_place(df)
+    return placed.select(*[(F.col(at[c]) if c in at else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
 
 _held: dict[tuple, object] = {}
@@ -121,7 +133,8 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``.
 
     Spark's own 64 MB is held several times over by each task, in the JVM and in Python. A
-    lower setting stays as it is.
+    lower setting stays as it is. The setting is read when a plan runs, so it stays lowered for
+    the rest of the session.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))

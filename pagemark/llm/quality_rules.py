@@ -10,31 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WS, docs_of, materialise, pick
+from .common import WS, by_place, discard, docs_of, materialise, pick
 
 _BLANK = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
-#: Groups with fewer documents than this borrow the sketch of their language, or of all.
-MIN_GROUP = 100
-#: metric -> (numerator, denominator, spread's least value, multiple), in per mille.
+#: A group's sketch is blended with its language's, and that with the sketch of all, as if the
+#: wider one were this many documents of the group.
+PRIOR = 400
+#: metric -> (numerator, denominator, two quantiles, multiple, whether the numerator counts rare
+#: events). The limit is the higher quantile and that multiple of its distance from the lower one.
 METRICS = {
-    "symbols": ("n_symbols", "n_words", 50, 4),
-    "dup_lines": ("n_dup_lines", "n_lines", 110, 4),
-    "repeats": ("n_repeat_words", "n_words", 110, 4),
-    "word_length": ("word_chars", "n_words", 250, 8),
+    "symbols": ("n_symbols", "n_words", 0.90, 0.50, 4, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.99, 0.90, 2, True),
+    "repeats": ("n_repeat_words", "n_words", 0.99, 0.90, 3, True),
+    "word_length": ("word_chars", "n_words", 0.90, 0.50, 4, False),
 }
+#: Cumulative shares are whole numbers out of this.
+_ONE = 10_000_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def with_counts(docs: DataFrame, prefix: str = "") -> DataFrame:
+def with_counts(docs: DataFrame, prefix: str = "", text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words.
 
     Three-word windows are compared by a 64-bit hash within one text. All work stays within
     the row, so no text is shuffled.
     """
     t = lambda name: f"__pm_{name}"
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    step = docs.withColumn(t("t"), text)
+    step = docs.withColumn(t("t"), F.coalesce(F.col(text).cast("string"), F.lit("")))
     step = step.withColumn(t("w"), F.split(F.btrim(t("t"), F.lit(_BLANK)), WS))
     step = step.withColumns(
         {
@@ -72,10 +75,22 @@ def _failed(prefix: str = "") -> Column:
 
 def _rate(metric: str, prefix: str = "") -> Column:
     """The metric in whole per mille."""
-    up, down, _, _ = METRICS[metric]
+    up, down, *_ = METRICS[metric]
     return F.expr(f"(1000 * `{prefix}{up}`) div greatest(`{prefix}{down}`, 1L)")
 
 
+def _within(metric: str, up: str, down: str, limit: str, number: str) -> str:
+    """SQL: whether a text keeps to the limit (per mille).
+
+    A short text's rate of rare events is uncertain, so up to three standard deviations of a
+    Poisson count (of the expected number and one) above the limit are let pass.
+    """
+    if not METRICS[metric][5]:
+        return f"1000 * {up} <= {limit} * greatest({down}, 1)"
+    over = f"CAST(1000 * {up} - {limit} * {down} AS {number})"
+    return f"({over} <= 0 OR {over} * {over} <= 9000 * CAST({limit} * {down} + 1000 AS {number}))"
+
+
 def sketches(counted: DataFrame, prefix: str = "") -> DataFrame:
     """(lang, source, metric, bin, n): the sketch of each metric over rows that pass the base."""
     rates = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), _rate(m, prefix).alias("v")) for m in METRICS])).alias("m")
@@ -85,29 +100,57 @@ def sketches(counted: DataFrame, prefix: str = "") -> DataFrame:
     return binned.groupBy("lang", "source", "metric", F.expr("shiftleft(k, c)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """For each of ``keys``: docs, and the limit of each metric (median and 10 % quantile)."""
-    merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
+def _shares(cumulative: DataFrame, wider: DataFrame | None, keys: list[str]) -> DataFrame:
+    """(*keys, metric, bin, share): cumulative shares of a sketch, blended with the wider one's.
+
+    ``cumulative(*keys, metric, bin, seen, docs)`` has a row for every bin of the wider sketch,
+    ``wider(*keys but the last, metric, bin, wide)``.
+    """
+    if wider is None:
+        return cumulative.select("metric", "bin", F.expr(f"(seen * {_ONE}L) div docs").alias("share"))
+    return cumulative.select(*keys, "metric", "bin", F.expr(f"(seen * {_ONE}L + wide * {PRIOR}L) div (docs + {PRIOR}L)").alias("share"))
+
+
+def _grid(sketch: DataFrame, wider: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, metric, bin, wide, seen, docs): each group's counts on all bins of the wider sketch.
+
+    A metric has some hundred bins at most, so a group has a bounded number of rows.
+    """
+    groups = sketch.select(*keys).distinct().withColumn("metric", F.explode(F.array(*[F.lit(m) for m in METRICS])))
+    outer = [*keys[:-1], "metric"]
+    bins = wider.select(*[F.col(c).alias(f"w_{c}") for c in outer], "bin", F.col("share").alias("wide"))
+    every = groups.join(bins, _same(outer, [f"w_{c}" for c in outer])).select(*keys, "metric", "bin", "wide")
+    own = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n")).select(*[F.col(c).alias(f"o_{c}") for c in (*keys, "metric", "bin")], "n")
+    both = every.join(own, _same([*keys, "metric", "bin"], [f"o_{c}" for c in (*keys, "metric", "bin")]), "left")
     by = Window.partitionBy(*keys, "metric")
-    seen = F.sum("n").over(by.orderBy("bin"))
-    marked = merged.select(*keys, "metric", "bin", seen.alias("seen"), F.sum("n").over(by).alias("docs"))
-    q = lambda num: F.min(F.when(F.col("seen") * 10 >= F.col("docs") * num, F.col("bin")))
-    quant = marked.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), q(5).alias("mid"), q(1).alias("low"))
-    out = []
-    for m, (_, _, least, times) in METRICS.items():
-        out.append(F.max(F.when(F.col("metric") == m, F.col("mid") + times * F.greatest(F.col("mid") - F.col("low"), F.lit(least)))).cast("long").alias(m))
-    return quant.groupBy(*keys).agg(F.max("docs").alias("docs"), *out)
+    n = F.coalesce("n", F.lit(0))
+    return both.select(*keys, "metric", "bin", "wide", F.sum(n).over(by.orderBy("bin")).alias("seen"), F.sum(n).over(by).alias("docs"))
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, a limit for each metric): from the pair, or the language, or everything."""
-    named = sketch.withColumn("every", F.lit(1))
-    pair = _limits(named, ["every", "lang", "source"])
-    lang = _limits(named, ["every", "lang"]).select(F.col("lang").alias("l"), F.col("docs").alias("l_docs"), *[F.col(m).alias(f"l_{m}") for m in METRICS])
-    every = _limits(named, ["every"]).select(F.col("every").alias("e"), *[F.col(m).alias(f"e_{m}") for m in METRICS])
-    both = pair.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(every, F.col("every") == F.col("e"), "left")
-    chosen = [F.when(F.col("docs") >= MIN_GROUP, F.col(m)).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{m}")).otherwise(F.col(f"e_{m}")).alias(f"__pm_max_{m}") for m in METRICS]
-    return both.select(F.col("lang").alias("__pm_tl"), F.col("source").alias("__pm_ts"), *chosen)
+    """(lang, source, a limit in per mille for each metric), as columns ``__pm_*``.
+
+    The quantiles are read off the pair's sketch, blended with that of its language, which is
+    blended with that of all: a large group goes by its own documents, a small one by its wider
+    group's, without a step between them.
+    """
+    merged = sketch.groupBy("metric", "bin").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("metric")
+    every = _shares(merged.select("metric", "bin", F.sum("n").over(by.orderBy("bin")).alias("seen"), F.sum("n").over(by).alias("docs")), None, [])
+    lang = _shares(_grid(sketch, every, ["lang"]), every, ["lang"])
+    pair = _shares(_grid(sketch, lang, ["lang", "source"]), lang, ["lang", "source"])
+    out = []
+    for m, (_, _, high, low, times, _) in METRICS.items():
+        q = lambda p, m=m: F.min(F.when((F.col("metric") == m) & (F.col("share") >= round(p * _ONE)), F.col("bin")))
+        out.append((q(high) + times * (q(high) - q(low))).cast("long").alias(f"__pm_max_{m}"))
+    return pair.groupBy(F.col("lang").alias("__pm_tl"), F.col("source").alias("__pm_ts")).agg(*out)
 
 
 def judged(counted: DataFrame, prefix: str = "") -> DataFrame:
@@ -116,10 +159,12 @@ def judged(counted: DataFrame, prefix: str = "") -> DataFrame:
     Thresholds are stored first, so their size is known: Spark sends them to all tasks while
     they are below its limit, and shuffles (and splits a common source's rows) only beyond it.
     """
-    limits = materialise(thresholds(sketches(counted, prefix)), "limits")
+    sketch = materialise(sketches(counted, prefix), "sketch")
+    limits = materialise(thresholds(sketch), "limits")
+    discard(counted.sparkSession, sketch)
     within = F.lit(True)
-    for m in METRICS:
-        within = within & (_rate(m, prefix) <= F.col(f"__pm_max_{m}"))
+    for m, (up, down, *_) in METRICS.items():
+        within = within & F.expr(_within(m, f"`{prefix}{up}`", f"`{prefix}{down}`", f"__pm_max_{m}", "DOUBLE"))
     on = F.col(f"{prefix}lang").eqNullSafe(F.col("__pm_tl")) & F.col(f"{prefix}source").eqNullSafe(F.col("__pm_ts"))
     joined = counted.join(limits, on, "left")
     return joined.select(*[F.col(f"`{c}`") for c in counted.columns], _failed(prefix).alias(f"{prefix}base_failed"), (~_failed(prefix) & F.coalesce(within, F.lit(False))).alias(f"{prefix}kept"))
@@ -137,11 +182,17 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns; nulls as in quality_rules."""
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Null and empty texts have no words and are dropped; null languages and sources are groups of
+    their own; null doc_ids and repeated rows are judged like any other; an empty table stays
+    empty. Columns of any name pass through, absent ones count as null.
+    """
+    placed, at = by_place(docs)
     p = "__pm_q_"
-    named = docs.withColumns({f"{p}{c}": docs[c].cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")})
-    counted = materialise(with_counts(named, p), "kept")
-    return judged(counted, p).where(f"{p}kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = {f"{p}{c}": (F.col(at[c]) if c in at else F.lit(None)).cast("string") for c in ("lang", "source", "text")}
+    counted = materialise(with_counts(placed.withColumns(given), p, f"{p}text").drop(f"{p}text"), "kept")
+    return judged(counted, p).where(f"{p}kept").select(*placed.columns).toDF(*docs.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,18 +200,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rate = {m: f"(1000 * {up}) // greatest({down}, 1)" for m, (up, down, _, _) in METRICS.items()}
+    rate = {m: f"(1000 * {up}) // greatest({down}, 1)" for m, (up, down, *_) in METRICS.items()}
     bins = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {rate[m]} AS v FROM counted WHERE NOT base_failed" for m in METRICS)
 
-    def limits(name: str, keys: str) -> str:
-        k = f"{keys}, " if keys else ""
-        cols = ", ".join(f"max(CASE WHEN metric = '{m}' THEN mid + {times} * greatest(mid - low, {least}) END) AS {m}" for m, (_, _, least, times) in METRICS.items())
-        return f"""{name}_m AS (SELECT {k}metric, bin, sum(n) AS n FROM sketch GROUP BY {k}metric, bin),
-{name}_s AS (SELECT {k}metric, bin, sum(n) OVER (PARTITION BY {k}metric ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {k}metric) AS docs FROM {name}_m),
-{name}_q AS (SELECT {k}metric, max(docs) AS docs, min(CASE WHEN seen * 10 >= docs * 5 THEN bin END) AS mid, min(CASE WHEN seen * 10 >= docs THEN bin END) AS low FROM {name}_s GROUP BY {k}metric),
-{name} AS (SELECT {k}max(docs) AS docs, {cols} FROM {name}_q{' GROUP BY ' + keys if keys else ''})"""
-
-    within = " AND ".join(f"{rate[m]} <= CASE WHEN p.docs >= {MIN_GROUP} THEN p.{m} WHEN l.docs >= {MIN_GROUP} THEN l.{m} ELSE e.{m} END" for m in METRICS)
+    def blended(name: str, wide: str, keys: list[str]) -> str:
+        own, outer = "".join(f"{k}, " for k in keys), [*keys[:-1], "metric"]
+        same = lambda a, b, cols: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in cols)
+        return f"""{name}_n AS (SELECT {own}metric, bin, sum(n) AS n FROM sketch GROUP BY ALL),
+{name}_k AS (SELECT DISTINCT {own}m.metric FROM sketch, (SELECT DISTINCT metric FROM sketch) m),
+{name}_g AS (SELECT {''.join(f'k.{c}, ' for c in keys)}k.metric, w.bin, w.share AS wide, coalesce(o.n, 0) AS n FROM {name}_k k JOIN {wide} w ON {same('k', 'w', outer)}
+  LEFT JOIN {name}_n o ON {same('k', 'o', [*keys, 'metric'])} AND o.bin = w.bin),
+{name} AS (SELECT {own}metric, bin, (sum(n) OVER (PARTITION BY {own}metric ORDER BY bin) * {_ONE} + wide * {PRIOR}) // (sum(n) OVER (PARTITION BY {own}metric) + {PRIOR}) AS share FROM {name}_g)"""
+
+    q = lambda m, p: f"min(CASE WHEN metric = '{m}' AND share >= {round(p * _ONE)} THEN bin END)"
+    limits = ", ".join(f"{q(m, high)} + {times} * ({q(m, high)} - {q(m, low)}) AS max_{m}" for m, (_, _, high, low, times, _) in METRICS.items())
+    within = " AND ".join(_within(m, up, down, f"max_{m}", "DOUBLE") for m, (up, down, *_) in METRICS.items())
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, unnest(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS i FROM t),
@@ -176,12 +230,12 @@ counted AS (SELECT doc_id, lang, source, coalesce(n_words, 0) AS n_words, coales
   FROM t LEFT JOIN a USING (rid) JOIN k USING (rid)),
 r AS ({bins}),
 sketch AS (SELECT lang, source, metric, (v >> CAST(greatest(length(bin(v)) - 7, 0) AS BIGINT)) << CAST(greatest(length(bin(v)) - 7, 0) AS BIGINT) AS bin, count(*) AS n FROM r GROUP BY ALL),
-{limits('p', 'lang, source')},
-{limits('l', 'lang')},
-{limits('e', '')}
+every AS (SELECT metric, bin, (sum(n) OVER (PARTITION BY metric ORDER BY bin) * {_ONE}) // sum(n) OVER (PARTITION BY metric) AS share FROM (SELECT metric, bin, sum(n) AS n FROM sketch GROUP BY ALL)),
+{blended('langs', 'every', ['lang'])},
+{blended('pairs', 'langs', ['lang', 'source'])},
+limits AS (SELECT lang, source, {limits} FROM pairs GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({within}, false) AS kept
-FROM counted LEFT JOIN p ON counted.lang IS NOT DISTINCT FROM p.lang AND counted.source IS NOT DISTINCT FROM p.source
-LEFT JOIN l ON counted.lang IS NOT DISTINCT FROM l.lang LEFT JOIN e ON true
+FROM counted LEFT JOIN limits l ON counted.lang IS NOT DISTINCT FROM l.lang AND counted.source IS NOT DISTINCT FROM l.source
 """
 
 
