@@ -1,4 +1,9 @@
-"""Packing of token sequences: exact complements by hashed length sums, then best fit."""
+"""Packing of token sequences: exact complements by indexed length sums, then best fit.
+
+An index from sums to the single lengths, pairs and triples that make them is built once from
+the lengths that occur. What a length leaves of a sequence is looked up in it, and a combination
+that is still in stock fills the sequence exactly. The residue goes by best fit.
+"""
 
 from __future__ import annotations
 
@@ -78,35 +83,88 @@ class _Stock:
         return times
 
 
+class SumIndex:
+    """Combinations of one, two and three available lengths by their sum.
+
+    ``pairs[s]`` has the smaller length of every pair with the sum s, ``triples[s]`` the smallest
+    length of triples (whose others are a pair without a smaller one). The largest come first: a
+    short piece fits nearly anywhere, so combinations of even lengths are spent before it. Stock
+    only falls, so an entry that has run out is passed for good.
+    """
+
+    def __init__(self, counts: np.ndarray, limit: int):
+        there = counts[: limit + 1] > 0
+        self.pairs, self.triples = [], []
+        for s in range(limit + 1):
+            low = np.arange(1, s // 2 + 1)
+            good = there[low] & there[s - low]
+            if s and s % 2 == 0:
+                good[-1] &= counts[s // 2] > 1
+            self.pairs.append((np.flatnonzero(good)[::-1] + 1).tolist())
+        best = np.array([p[0] if p else 0 for p in self.pairs])
+        for s in range(limit + 1):
+            low = np.arange(1, s // 3 + 1)
+            self.triples.append((np.flatnonzero(there[low] & (best[s - low] >= low))[::-1] + 1).tolist())
+
+    def pair(self, left: np.ndarray, s: int, held: tuple[int, ...], least: int = 1) -> tuple[int, int] | None:
+        """Two lengths in stock besides ``held`` with that sum, as even as can be, none below ``least``."""
+        lows = self.pairs[s]
+        while lows and not (left[lows[0]] and left[s - lows[0]]):
+            lows.pop(0)
+        for low in lows:
+            if low < least:
+                break
+            high = s - low
+            if left[low] > held.count(low) + (low == high) and left[high] > held.count(high):
+                return high, low
+        return None
+
+    def find(self, left: np.ndarray, base: int, s: int, parts: int) -> tuple[int, ...] | None:
+        """That many lengths in stock, besides one of ``base``, with the sum ``s``."""
+        if parts == 1:
+            return (s,) if left[s] > (s == base) else None
+        if parts == 2:
+            return self.pair(left, s, (base,))
+        lows = self.triples[s]
+        while lows and not left[lows[0]]:
+            lows.pop(0)
+        for low in lows:
+            if left[low] > (low == base) and (two := self.pair(left, s - low, (base, low), low)):
+                return (*two, low)
+        return None
+
+
 def plan_sequences(counts: np.ndarray, limit: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used, for ``counts[length]`` pieces.
 
     From the longest length down, the gap that a length leaves is looked up among single
     lengths; then, for what is left, among sums of two, and then of three, each under what is
-    still there. Such patterns fill a sequence exactly. What finds no exact partner goes by best
-    fit, longest first. Taking many short pieces for exact fits can leave long ones alone, so
-    the plan is made with sums up to each size and the one with the fewest sequences stands. The
-    input is a histogram of ``limit`` numbers, whatever the number of documents.
+    still there. Such patterns fill a sequence exactly. No two pieces over half a sequence (wide
+    ones) can share one, so short pieces are put together without a wide one, or several with
+    one, only as far as the rest can spare them. What finds no exact partner goes by best fit,
+    longest first.
+    The input is a histogram of ``limit`` numbers, whatever the number of documents.
     """
-    plans = []
-    for most in (3, 2, 1, 0):
-        stock = _Stock(counts)
-        stock.take((limit,))
-        for parts in range(1, most + 1):
-            _exact(stock, limit, parts)
-        plans.append(stock.plan + _best_fit(stock.left, limit))
-    return min(plans, key=lambda plan: sum(times for _, times in plan))
+    stock = _Stock(counts)
+    stock.take((limit,))
+    index = SumIndex(stock.left, limit)
+    for parts in (1, 2, 3):
+        _exact(stock, index, limit, parts)
+    return stock.plan + _best_fit(stock.left, limit)
 
 
-def _exact(stock: _Stock, limit: int, parts: int) -> None:
+def _exact(stock: _Stock, index: SumIndex, limit: int, parts: int) -> None:
     """Use up exact fillings of a length's gap with ``parts`` pieces."""
     left = stock.left
     for long in range(limit - 1, 0, -1):
-        while left[long]:
-            left[long] -= 1  # one of them is the base while its partners are looked up
-            found = _complement(left, limit - long, parts)
-            left[long] += 1
-            if found is None or not stock.take((long, *found)):
+        while left[long] and (found := index.find(left, long, limit - long, parts)):
+            size = np.arange(len(left))
+            wide, slim = int(left[2 * size > limit].sum()), int(left[2 * size <= limit].sum())
+            # Pieces that the wide ones can spare, and sequences that may do without a wide one.
+            spare, free = slim - 2 * wide, -(-int((left * size).sum()) // limit) - wide
+            alone = 2 * long <= limit
+            room = min([spare] * (parts > 1) + [free] * alone, default=None)
+            if room is not None and room <= 0 or not stock.take((long, *found), room):
                 break
 
 
@@ -134,35 +192,6 @@ def _best_fit(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int
     return [run for runs in gaps.values() for run in runs]
 
 
-def _complement(left: np.ndarray, gap: int, parts: int) -> tuple[int, ...] | None:
-    """That many available lengths that sum to ``gap``; longest parts first."""
-    if parts == 1:
-        return (gap,) if left[gap] > 0 else None
-    if parts == 2:
-        return _pair(left, gap)
-    for a in np.flatnonzero(left[1 : gap - 1] > 0)[::-1] + 1:
-        if 3 * a < gap:
-            break
-        left[a] -= 1
-        pair = _pair(left, gap - int(a))
-        left[a] += 1
-        if pair:
-            return (int(a), *pair)
-    return None
-
-
-def _pair(left: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """Two available lengths with that sum, as unequal as can be."""
-    if gap < 2:
-        return None
-    low = np.arange(1, gap // 2 + 1)
-    good = (left[low] > 0) & (left[gap - low] > 0)
-    if gap % 2 == 0:
-        good[-1] &= left[gap // 2] > 1
-    hit = np.flatnonzero(good)
-    return (gap - int(low[hit[0]]), int(low[hit[0]])) if len(hit) else None
-
-
 def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first, last, sequence, offset): the places of one length, by its rank.
 
