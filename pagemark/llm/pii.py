@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, fields, map_texts, pick
+from .common import by_place, docs_of, fields, map_texts, pick
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, number of the kind, end
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -45,7 +46,17 @@ def _emails(text: str) -> list[tuple[int, int]]:
 def _ips(text: str) -> list[tuple[int, int]]:
     # The value is compared by its length first: a run of digits may be very long.
     ok = lambda p: len(p := p.lstrip("0")) <= 3 and int(p or "0") <= 255
-    return [m.span() for m in _IP.finditer(text) if all(map(ok, m[0].split(".")))]
+    out, at = [], 0
+    while m := _DOTTED.search(text, at):
+        # A match takes whole runs of digits, so a dotted chain falls into groups of four runs.
+        runs, start = m[0].split("."), m.start()
+        for k in range(0, len(runs) - 3, 4):
+            end = start + sum(map(len, runs[k : k + 4])) + 3
+            if all(map(ok, runs[k : k + 4])):
+                out.append((start, end))
+            start = end + 1
+        at = m.end()
+    return out
 
 
 def luhn(digits: str) -> bool:
@@ -87,7 +98,7 @@ def base_spans(text: str) -> list[Span]:
 
 # Letters of other scripts that look like ASCII letters.
 _LOOKALIKES = (
-    ("абвгеёкмнорстухусіјѕԁһԛԝАВЕЅІЈКМНОРСТУХ", "a6breekmhopctyxyciјsdhqwABESIJKMHOPCTYX"),
+    ("абвгеёкмнорстухусіјѕԁһԛԝАВЕЅІЈКМНОРСТУХ", "a6breekmhopctyxycijsdhqwABESIJKMHOPCTYX"),
     ("αεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeikvoptuxABEZHIKMNOPTYX"),
     ("ıɡɑℓ", "igal"),
     ("․。．｡", "...."),
@@ -95,13 +106,17 @@ _LOOKALIKES = (
     ("‐‑‒–−－", "------"),
     ("    　", "     "),
     ("＋﹢", "++"),
+    ("（）［］｛｝＜＞", "()[]{}<>"),
 )
 #: Characters without a shape, dropped.
 _INVISIBLE = "­​‌‍⁠﻿"
 
 
 def _glyphs() -> dict[str, str]:
-    table = {a: b for odd, plain in _LOOKALIKES for a, b in zip(odd, plain) if b.isascii()}
+    for odd, plain in _LOOKALIKES:
+        if len(odd) != len(plain) or not plain.isascii() or any(map(str.isascii, odd)):
+            raise ValueError(f"lookalikes and their letters do not match: {odd} {plain}")
+    table = {a: b for odd, plain in _LOOKALIKES for a, b in zip(odd, plain)}
     for base, first, n in ((0xFF10, "0", 10), (0xFF21, "A", 26), (0xFF41, "a", 26)):
         table |= {chr(base + k): chr(ord(first) + k) for k in range(n)}
     # Mathematical letters come in thirteen styles of 52, digits in five of 10.
@@ -131,25 +146,21 @@ _ITEM = rf"(?:{_NAMES}|[0-9]++)(?![^\W_])"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s-]++)?{_ITEM}(?:[\s,.-]++{_ITEM})*+", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(?<![^\W_])(plus|{_NAMES}|[0-9]+)(?![^\W_])([\s,.-]*)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
+_LETTERS = re.compile("[a-z]+")
 _FEW_NAMES = re.compile(rf"(?<![^\W_])(?:{_NAMES})(?![^\W_])", re.IGNORECASE)
 
 # Words for "at" and "dot" that disguises use.
 _AT = "at|arroba|arobase"
 _DOT = "dot|punkt|point|punto"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT_SIGN = rf"\s*{_OPEN}\s*(?:{_AT}|@)\s*{_CLOSE}\s*"
-_DOT_SIGN = rf"\s*{_OPEN}\s*(?:{_DOT}|\.)\s*{_CLOSE}\s*"
-_BARE_DOT = rf"\s+(?:{_DOT})\s+"
-_ATOM = r"[A-Za-z0-9_%+-]+"
-#: Bracketed at with any kind of dot, or a bare at (or @) with at least one spelled dot.
-_DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9_%+-]){_ATOM}(?:(?:\.|{_DOT_SIGN}|{_BARE_DOT}){_ATOM})*+"
-    rf"(?:{_AT_SIGN}[A-Za-z0-9-]+(?:(?:\.|{_DOT_SIGN}|{_BARE_DOT})[A-Za-z0-9-]+)+"
-    rf"|(?:\s+(?:{_AT})\s+|\s*@\s*)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:(?:{_DOT_SIGN}|{_BARE_DOT})[A-Za-z0-9-]+)(?:(?:\.|{_DOT_SIGN}|{_BARE_DOT})[A-Za-z0-9-]+)*)",
-    re.IGNORECASE,
-)
-_SIGNS = re.compile(rf"(?P<at>{_AT_SIGN}|\s+(?:{_AT})\s+|\s*@\s*)|(?P<dot>{_DOT_SIGN}|{_BARE_DOT})", re.IGNORECASE)
-_SPREAD_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT_SIGN}|{_BARE_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_DOT_SIGN = rf"\s*+{_OPEN}\s*+(?:{_DOT}|\.)\s*+{_CLOSE}\s*+"
+_CONNECT = rf"\.|{_DOT_SIGN}|\s++(?:{_DOT})\s++"
+#: Where an address may have its at: in brackets, as a word between spaces, or plainly.
+_SIGN = re.compile(rf"{_OPEN}\s*+(?:{_AT}|@)\s*+{_CLOSE}|(?<=\s)(?:{_AT})(?=\s)|@", re.IGNORECASE)
+_DOT_HERE = re.compile(_CONNECT, re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]++")
+_ATOM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_SPREAD_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}+({_CONNECT})[0-9]{{1,3}}+({_CONNECT})[0-9]{{1,3}}+({_CONNECT})[0-9]{{1,3}}+(?![0-9])", re.IGNORECASE)
 _DOT_WORDS = frozenset(_DOT.split("|"))
 
 
@@ -202,13 +213,84 @@ def written_digits(t: Traced) -> Traced:
     return t.rewrite(edits)
 
 
+def _back(text: str, at: int, least: int, good: Callable[[str], bool]) -> int:
+    """The start of the run of characters that are ``good`` and end at ``at``."""
+    while at > least and good(text[at - 1]):
+        at -= 1
+    return at
+
+
+def _dot_before(text: str, at: int, least: int) -> int | None:
+    """The start of a dot, plain or disguised, that ends at ``at``."""
+    if at > least and text[at - 1] == ".":
+        return at - 1
+    end = _back(text, at, least, str.isspace)
+    if end > least and text[end - 1] in "])}>":
+        inner = _back(text, end - 1, least, str.isspace)
+        start = _back(text, inner, least, lambda c: c.isalpha() or c == ".")
+        if text[start:inner].lower() not in _DOT_WORDS and text[start:inner] != ".":
+            return None
+        start = _back(text, start, least, str.isspace)
+        return _back(text, start - 1, least, str.isspace) if start > least and text[start - 1] in "[({<" else None
+    start = _back(text, end, least, str.isalpha)
+    if end < at and text[start:end].lower() in _DOT_WORDS and start > least and text[start - 1].isspace():
+        return _back(text, start, least, str.isspace)
+    return None
+
+
+def _addresses(text: str) -> list[tuple[int, int, list[tuple[int, int, str]]]]:
+    """(start, end, edits) of disguised addresses.
+
+    Each at is the start of a walk to both sides: a bracketed one needs some dot behind it, a
+    word or a plain one a disguised dot. Every part of the text is walked a bounded number of
+    times.
+    """
+    out, done = [], 0
+    for m in _SIGN.finditer(text):
+        if m.start() < done:
+            continue
+        bracketed = len(m[0]) > 1 and m[0][0] in "[({<"
+        left = _back(text, m.start(), done, str.isspace)
+        start = _back(text, left, done, _ATOM.__contains__)
+        if start == left:
+            continue
+        right = m.end()
+        while right < len(text) and text[right].isspace():
+            right += 1
+        host = _HOST.match(text, right)
+        edits, dots, spelled, end = [(left, right, "@")], 0, bracketed, right
+        while host:
+            end = host.end()
+            dot = _DOT_HERE.match(text, end)
+            host = _HOST.match(text, dot.end()) if dot else None
+            if host:
+                dots += 1
+                if len(dot[0]) > 1:
+                    spelled = True
+                    edits.append((dot.start(), dot.end(), "."))
+        if not dots or not spelled:
+            continue
+        while (dot_at := _dot_before(text, start, done)) is not None:
+            further = _back(text, dot_at, done, _ATOM.__contains__)
+            if further == dot_at:
+                break
+            if start - dot_at > 1:
+                edits.append((dot_at, start, "."))
+            start = further
+        out.append((start, end, sorted(edits)))
+        done = end
+    return out
+
+
 def signs(t: Traced) -> Traced:
-    spans = [m.span() for m in _DISGUISED.finditer(t.text)]
-    spans += [m.span() for m in _SPREAD_IP.finditer(t.text) if not any(m.start() < b and a < m.end() for a, b in spans)]
-    edits = []
-    for a, b in sorted(spans):
-        edits += [(s.start(), s.end(), "@" if s["at"] else ".") for s in _SIGNS.finditer(t.text, a, b)]
-    return t.rewrite(edits)
+    found = _addresses(t.text)
+    starts, ends = [x[0] for x in found], [x[1] for x in found]
+    edits = [e for x in found for e in x[2]]
+    for m in _SPREAD_IP.finditer(t.text):
+        k = bisect_right(ends, m.start())
+        if k == len(starts) or starts[k] >= m.end():
+            edits += [(a, b, ".") for a, b in map(m.span, (1, 2, 3)) if b - a > 1]
+    return t.rewrite(sorted(edits))
 
 
 def _beyond_latin(text: str) -> bool:
@@ -227,8 +309,8 @@ def disguised_spans(text: str) -> list[Span]:
     t = plain_glyphs(Traced(text)) if _beyond_latin(text) else None
     plain = t.text if t else text
     named = not DIGIT_WORDS.keys().isdisjoint(_WORD.findall(plain.lower()))
-    words = plain.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
-    signed = not _DOT_WORDS.isdisjoint(words) or any(c in text for c in "[({<")
+    words = _LETTERS.findall(plain.lower())
+    signed = not _DOT_WORDS.isdisjoint(words) or any(c in plain for c in "[({<")
     if not (t or named or signed):
         return []
     t = t or Traced(text)
@@ -259,8 +341,12 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     A disguised span is added only where it meets no base span of its kind.
     """
     base = base_spans(text)
-    taken = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]
-    more = [(s, k, e) for s, k, e in disguised_spans(text) if not any(s < f and b < e for b, f in taken[k])]
+    starts, ends = ([[x[i] for x in base if x[1] == kind] for kind in range(len(KINDS))] for i in (0, 2))
+    more = []
+    for s, k, e in disguised_spans(text):
+        first = bisect_right(ends[k], s)  # the first base span that ends behind the start
+        if first == len(ends[k]) or starts[k][first] >= e:
+            more.append((s, k, e))
     return base, sorted(base + more)
 
 
@@ -309,15 +395,19 @@ def redact(text: str) -> str:
 def redact_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars``, if there, brought up to date.
 
-    Null texts stay null. All rows and all other columns stay as they are.
+    Null texts stay null, and so does an absent column absent. All rows, repeated ones too, and
+    all other columns, of any name, stay as they are; an empty table stays empty.
     """
-    new = "__pm_text"
-    masked = map_texts(docs.withColumn("__pm_null", F.col("text").isNull()), lambda texts: {new: [redact(t) for t in texts]}, fields(**{new: "string"}))
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out["text"] = F.when(~F.col("__pm_null"), F.col(new)).alias("text")
-    if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("__pm_null"), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return masked.select(*out.values())
+    placed, at = by_place(docs)
+    if "text" not in at:
+        return docs
+    text, size = at["text"], at.get("n_chars")
+    masked = map_texts(placed.withColumn("__pm_null", F.col(text).isNull()), lambda texts: {"__pm_text": [redact(t) for t in texts]}, fields(__pm_text="string"), column=text)
+    out = {c: F.col(c) for c in placed.columns}
+    out[text] = F.when(~F.col("__pm_null"), F.col("__pm_text"))
+    if size:
+        out[size] = F.when(F.col("__pm_null"), F.col(size)).otherwise(F.length("__pm_text")).cast(placed.schema[size].dataType)
+    return masked.select(*[c.alias(k) for k, c in out.items()]).toDF(*docs.columns)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
