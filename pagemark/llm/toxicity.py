@@ -1,9 +1,10 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention, in numpy.
 
-A text is cut into overlapping windows of words. Each word enters as an embedding of itself and
-the mean of embeddings of its character trigrams; two gated recurrent layers read the window
-forward and backward, attention pools their states, and a text's score is that of its worst
-window. Words, trigrams and weights are learnt from labelled texts only.
+A text is cut into overlapping windows of words. Each word enters as an embedding of itself, the
+mean of embeddings of its runs of characters, and two numbers that say how telling the word and
+its runs are among the labelled texts; two gated recurrent layers read the window forward and
+backward, attention pools their states, and a text's score is that of its worst window. All is
+learnt from labelled texts only; a text that is learnt from does not count for its own words.
 """
 
 from __future__ import annotations
@@ -17,22 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, docs_of, fields, held, map_texts, materialise, pick
+from .common import by_place, discard, docs_of, fields, held, map_texts, materialise, pick
 from .quality_model import labelled
 from .tokens import ragged
 
 #: The fit reads at most this many labelled documents of each class (smallest hashes of doc_id).
 MAX_FIT = 2_000
-WINDOW, STRIDE = 32, 24
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 13
+WINDOW, STRIDE = 32, 16
+WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
+#: Lengths of the runs of bytes that describe a word.
+GRAMS = (3, 5, 7)
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 12, 8, 8
 BATCH, ROUNDS, LEARNING_RATE = 128, 2, 0.01
-STEPS = (220, 160)
+STEPS = (260, 200)
+#: Share of words that a training step knows by their characters alone.
+UNKNOWN = 0.6
+DECAY = 0.3
 THRESHOLD = 0.7
 #: Distinct words kept in one worker.
 MAX_WORDS = 120_000
-#: Words of the log-odds table that choose the first windows; those seen in few texts are left out.
-TELLING, LEAST_TEXTS = 20_000, 3
+#: Buckets of the counts of texts that have a word, or a run of characters but the shortest ones.
+TELLING = 1 << 17
 
 _EDGE = "'\"()[]{}<>.,;:!?-_*#$%&|/\\"
 
@@ -52,41 +58,115 @@ def clean(word: str) -> str:
 
 
 def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word buckets, trigram buckets one after another, number of trigrams of each word)."""
+    """(numbers of the words, of their runs one after another, how many runs each word has).
+
+    The runs of a word are those of GRAMS bytes in it, its edges marked; a run's number modulo
+    four is the place of its length in GRAMS.
+    """
     raw = [b"^" + w.encode("utf-8", "surrogatepass") + b"$" for w in words]
-    buckets = np.fromiter((zlib.crc32(r) % WORD_BUCKETS for r in raw), np.int64, len(raw))
-    n = np.fromiter(map(len, raw), np.int64, len(raw)) - 2
-    text = np.frombuffer(b"".join(raw) + b"\0\0", np.uint8).astype(np.int64)
-    starts = np.concatenate(([0], np.cumsum(n + 2)[:-1])) if len(raw) else np.empty(0, np.int64)
-    n = np.maximum(n, 1)
-    at = ragged(starts, n)
-    hashed = (text[at] * 1_000_003 + text[at + 1] * 8_191 + text[at + 2] * 131) % 2_147_483_647 % CHAR_BUCKETS
-    return buckets, hashed, n
+    buckets = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    text = np.frombuffer(b"".join(raw) + bytes(max(GRAMS)), np.uint8).astype(np.uint64)
+    starts = np.concatenate(([0], np.cumsum(size)[:-1])) if len(raw) else np.empty(0, np.int64)
+    parts, owners = [], []
+    for place, gram in enumerate(GRAMS):
+        n = np.maximum(size - gram + 1, gram == GRAMS[0])  # the shortest runs are there for every word
+        at = ragged(starts, n)
+        h = np.full(len(at), gram, dtype=np.uint64)
+        for k in range(gram):
+            h = (h + text[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        parts.append(((h ^ h >> np.uint64(32)) & np.uint64((1 << 40) - 1)).astype(np.int64) * 4 + place)
+        owners.append(np.repeat(np.arange(len(raw)), n))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return buckets, np.concatenate(parts)[order], np.bincount(owner, minlength=len(raw))
+
+
+class Evidence:
+    """In how many labelled texts of each class the words and runs of characters occur.
+
+    Each is counted in two tables by different hashes, and the lesser value is believed, so that
+    a word that shares one bucket with a telling one tells nothing.
+    """
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+        #: counts[class, two tables for words and two for runs, bucket]; sizes[class] texts.
+        self.counts, self.sizes = counts, sizes
+
+    @staticmethod
+    def of(texts: list[str], labels: list[int]) -> Evidence:
+        out = Evidence(np.zeros((2, 4, TELLING), np.int32), np.zeros(2, np.int64))
+        for text, y in zip(texts, labels):
+            words = list({clean(w) for w in text.lower().split()})
+            out.sizes[y] += 1
+            if words:
+                buckets, chars, _ = word_inputs(words)
+                for kind, numbers in ((0, buckets), (2, chars[chars % 4 > 0])):
+                    for table, places in enumerate(out.places(numbers)):
+                        out.counts[y, kind + table, np.unique(places)] += 1
+        return out
+
+    @staticmethod
+    def places(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+        return (mixed % np.uint64(TELLING)).astype(np.int64), ((mixed >> np.uint64(19)) % np.uint64(TELLING)).astype(np.int64)
+
+    def tells(self, kind: int, numbers: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Signed square roots of the likelihood ratio that classes differ in a bucket; in [-2, 3].
+
+        ``own`` is the class of the text that the words stand in, which is left out.
+        """
+        sizes = np.maximum(self.sizes - np.array([own == 0, own == 1]), 1)
+        share = sizes[1] / sizes.sum()
+        out = None
+        for table, places in enumerate(self.places(numbers)):
+            n, t = (self.counts[y, kind + table, places].astype(np.float64) - (own == y) for y in (0, 1))
+            m = t + n
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g = np.where(t > 0, t * np.log(t / (m * share)), 0) + np.where(n > 0, n * np.log(n / (m * (1 - share))), 0)
+            z = np.where(t > m * share, 1, -1) * np.sqrt(np.maximum(2 * g, 0))
+            out = z if out is None else np.minimum(out, z)
+        return (np.clip(out, -8, 12) / 4).astype(np.float32)
+
+    def features(self, inputs, own: int | None = None) -> np.ndarray:
+        """For each word, what it tells, and the most that any of its longer runs tells."""
+        numbers, chars, n = inputs
+        told = np.full(len(chars), -np.inf, np.float32)
+        long = np.flatnonzero(chars % 4 > 0)
+        told[long] = self.tells(2, chars[long], own)
+        runs = np.maximum.reduceat(told, np.cumsum(n) - n)
+        return np.stack([self.tells(0, numbers, own), np.where(np.isfinite(runs), runs, 0)], axis=1)
 
 
 class Network:
     """The parameters, and the passes forward and backward over windows of equal length."""
 
     SHAPES = {
-        "word": (WORD_BUCKETS, WORD_DIM), "char": (CHAR_BUCKETS, CHAR_DIM),
-        **{f"{p}{d}": s for d in "fb" for p, s in (("W", (WORD_DIM + CHAR_DIM, 3 * HIDDEN)), ("c", (3 * HIDDEN,)), ("U", (HIDDEN, 3 * HIDDEN)))},
+        "word": (WORD_BUCKETS + 1, WORD_DIM), "char": (CHAR_BUCKETS, CHAR_DIM),
+        **{f"{p}{d}": s for d in "fb" for p, s in (("W", (WORD_DIM + CHAR_DIM + 2, 3 * HIDDEN)), ("c", (3 * HIDDEN,)), ("U", (HIDDEN, 3 * HIDDEN)))},
         "A": (2 * HIDDEN, ATTENTION), "a": (ATTENTION,), "w": (2 * HIDDEN,), "bias": (1,),
     }
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.p = {k: (rng.normal(size=s) * (0.3 if k in ("word", "char") else 1 / math.sqrt(s[0]))).astype(np.float32) for k, s in self.SHAPES.items()}
+        self.p = {k: (rng.normal(size=s) * (0.05 if k in ("word", "char") else 1 / math.sqrt(s[0]))).astype(np.float32) for k, s in self.SHAPES.items()}
         for k in ("cf", "cb", "bias"):
             self.p[k][:] = 0
+        self.p["word"][WORD_BUCKETS] = 0  # a word not known
         self.slow = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.fast = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t = 0
 
     def embed(self, inputs) -> np.ndarray:
-        buckets, chars, n = inputs
+        buckets, chars, n, *telling = inputs
         starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        mean = np.add.reduceat(self.p["char"][chars], starts, axis=0) / n[:, None].astype(np.float32)
-        return np.hstack([self.p["word"][buckets], mean])
+        mean = np.add.reduceat(self.p["char"][chars % CHAR_BUCKETS], starts, axis=0) / n[:, None].astype(np.float32)
+        return np.hstack([self.p["word"][self._row(buckets)], mean, telling[0] if telling else np.zeros((len(n), 2), np.float32)])
+
+    @staticmethod
+    def _row(buckets: np.ndarray) -> np.ndarray:
+        """The row of a word's embedding; the last one is that of words not known (-1)."""
+        return np.where(buckets < 0, WORD_BUCKETS, buckets % WORD_BUCKETS)
 
     def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What a word adds to the gates of each direction; computed once a word."""
@@ -173,11 +253,11 @@ class Network:
             np.add.at(dg, index.T.reshape(-1), d_gates.reshape(-1, 3 * HIDDEN))
             g[f"W{d}"], g[f"c{d}"] = x.T @ dg, dg.sum(axis=0)
             dx += dg @ p[f"W{d}"].T
-        buckets, chars, n = inputs
+        buckets, chars, n = inputs[:3]
         g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], buckets, dx[:, :WORD_DIM])
+        np.add.at(g["word"], self._row(buckets), dx[:, :WORD_DIM])
         g["char"] = np.zeros_like(p["char"])
-        np.add.at(g["char"], chars, np.repeat(dx[:, WORD_DIM:] / n[:, None].astype(np.float32), n, axis=0))
+        np.add.at(g["char"], chars % CHAR_BUCKETS, np.repeat(dx[:, WORD_DIM : WORD_DIM + CHAR_DIM] / n[:, None].astype(np.float32), n, axis=0))
         self.t += 1
         for k, v in g.items():
             v = v.astype(np.float32)
@@ -185,15 +265,17 @@ class Network:
             self.fast[k] += 0.01 * (v * v - self.fast[k])
             step = LEARNING_RATE * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
             p[k] -= step * self.slow[k] / (np.sqrt(self.fast[k]) + 1e-6)
+            if k in ("word", "char"):
+                p[k] *= 1 - DECAY * LEARNING_RATE
         return loss
 
 
 class Reader:
     """Scores texts with a network; inputs of distinct words are kept between batches."""
 
-    def __init__(self, parameters: dict[str, np.ndarray]):
+    def __init__(self, parameters: dict[str, np.ndarray], evidence: Evidence, own: int | None = None):
         self.net = Network.__new__(Network)
-        self.net.p = parameters
+        self.net.p, self.evidence, self.own = parameters, evidence, own
         self.clear()
 
     def clear(self) -> None:
@@ -215,7 +297,8 @@ class Reader:
                 row.append(k)
             out.append(row)
         if fresh:
-            new = self.net.gates(self.net.embed(word_inputs([clean(w) for w in fresh])))
+            inputs = word_inputs([clean(w) for w in fresh])
+            new = self.net.gates(self.net.embed((*inputs, self.evidence.features(inputs, self.own))))
             self.gates = [np.concatenate([a, b]) for a, b in zip(self.gates, new)]
         return out
 
@@ -259,20 +342,21 @@ class Reader:
 # -- fitting ----------------------------------------------------------------------------------
 
 
-def _telling(sample: DataFrame) -> dict[str, float]:
-    """Log odds of the words that differ most between the classes (at most TELLING words)."""
+def _gathered(sample: DataFrame) -> Evidence:
+    """The evidence of ``sample(text, y)``: one table a partition, of a fixed size, is summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Evidence.of([], [])
         for batch in batches:
-            count: dict[str, list[int]] = {}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in {clean(w) for w in (text or "").lower().split()}:
-                    count.setdefault(w, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[1] for c in count.values()], pa.int64()), pa.array([c[0] for c in count.values()], pa.int64())], names=["w", "t", "n"])
+            part = Evidence.of([t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_pylist())
+            total = Evidence(total.counts + part.counts, total.sizes + part.sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([total.counts.tobytes()], pa.binary()), pa.array([total.sizes.tobytes()], pa.binary())], names=["c", "s"])
 
-    words = sample.select("text", "y").mapInArrow(run, "w string, t long, n long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    words = words.where(F.col("t") >= LEAST_TEXTS).withColumn("odds", F.log((F.col("t") + 0.2) / (F.col("n") + 0.2)))
-    return {r["w"]: r["odds"] for r in words.orderBy(F.desc("odds"), "w").limit(TELLING).collect()}
+    total = Evidence.of([], [])
+    for r in sample.select("text", "y").coalesce(4).mapInArrow(run, "c binary, s binary").toLocalIterator():
+        total.counts += np.frombuffer(r["c"], np.int32).reshape(total.counts.shape)
+        total.sizes += np.frombuffer(r["s"], np.int64)
+    return total
 
 
 def _chosen(sample: DataFrame, pick_windows) -> list[tuple[int, int, list[str]]]:
@@ -305,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     Labels tell of whole texts. The first windows of a toxic text are those with the most
     telling words; after training, its windows are chosen anew by the network, and the worst
     windows of clean texts are added to the random ones. A fifth of the texts is kept from
-    training for the calibration. Samples are bounded by MAX_FIT, windows by a few a text.
+    training, and all are scored for the calibration. Samples are bounded by MAX_FIT, windows by a few a text.
     """
     spark = docs.sparkSession
     sample = materialise(labelled(docs, labels, "toxic", 3, 1, MAX_FIT, by_class=True).repartition(12), "toxic-fit")
@@ -314,13 +398,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         discard(spark, sample)
         return None
     train, kept = (sample.where(f"pmod(xxhash64(doc_id, 5), 5) {op} 0") for op in ("<>", "="))
-    odds = _telling(train)
+    evidence = spark.sparkContext.broadcast(_gathered(train))
 
     def first(ids, texts, ys):
         for name, text, y in zip(ids, texts, ys):
             words = [clean(w) for w in text.lower().split()]
             starts = window_starts(len(words))
-            tell = np.array([odds.get(w, 0.0) for w in words])
+            tell = evidence.value.features(word_inputs(words), y).max(axis=1) if words else np.empty(0)
             value = np.array([tell[s : s + WINDOW].max() for s in starts]) if starts else np.empty(0)
             top = np.argsort(-value, kind="stable")[: 3 if y else 1].tolist()
             yield [starts[i] for i in dict.fromkeys(top if y else top + _spread(name, len(starts), 3))]
@@ -332,30 +416,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
             shared = {k: v.copy() for k, v in net.p.items()}
 
             def again(ids, texts, ys, shared=shared):
-                reader = _reader(shared)
-                logits, count = reader.window_logits(texts)
-                at = 0
-                for name, text, y, n in zip(ids, texts, ys, count.tolist()):
-                    starts = window_starts(len(text.lower().split()))
-                    top = np.argsort(-logits[at : at + n], kind="stable")[:2].tolist()
-                    at += n
-                    yield [starts[i] for i in dict.fromkeys(top if y else top + _spread(name, n, 2))]
+                out: list = [None] * len(ids)
+                for label in (0, 1):
+                    some = [k for k, y in enumerate(ys) if y == label]
+                    logits, count = _reader(shared, evidence.value, label).window_logits([texts[k] for k in some])
+                    at = 0
+                    for k, n in zip(some, count.tolist()):
+                        starts = window_starts(len(texts[k].lower().split()))
+                        top = np.argsort(-logits[at : at + n], kind="stable")[:2].tolist()
+                        at += n
+                        out[k] = [starts[i] for i in dict.fromkeys(top if label else top + _spread(ids[k], n, 2))]
+                return out
 
             windows = _chosen(train, again) + [w for w in windows if not w[1]]
-        _train(net, windows, STEPS[turn], seed=turn)
+        _train(net, evidence.value, windows, STEPS[turn], seed=turn)
     parameters = net.p
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(parameters)
         for batch in batches:
-            best, _ = reader.worst([t or "" for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(best, -30).astype(float)), batch.column(1)], names=["s", "y"])
-
-    rows = kept.select("text", "y").mapInArrow(worst, "s double, y int").collect()
+            texts, y, own = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            s = np.empty(len(texts))
+            for kind in np.unique(own).tolist():
+                some = np.flatnonzero(own == kind)
+                s[some] = np.maximum(_reader(parameters, evidence.value, None if kind < 0 else kind).worst([texts[k] for k in some])[0], -30)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(y)], names=["s", "y"])
+
+    # Texts that were learnt from count as well, without their own evidence.
+    known = kept.select("text", "y", F.lit(-1).alias("own")).union(train.select("text", "y", F.col("y").alias("own")))
+    rows = known.mapInArrow(worst, "s double, y int").collect()
     share = labels_share(labels)
     slope, shift = _platt(np.array([r["s"] for r in rows]), np.array([r["y"] for r in rows], dtype=float), share)
     discard(spark, sample)
-    return {"p": parameters, "slope": slope, "shift": shift}
+    return {"p": parameters, "evidence": evidence.value, "slope": slope, "shift": shift}
 
 
 def labels_share(labels: DataFrame) -> float:
@@ -365,14 +457,20 @@ def labels_share(labels: DataFrame) -> float:
     return min(0.9, max(0.01, share if share is not None else 0.5))
 
 
-def _train(net: Network, windows: list[tuple[int, int, list[str]]], steps: int, seed: int) -> None:
-    words = list(dict.fromkeys(w for _, _, ws in windows for w in ws))
+def _train(net: Network, evidence: Evidence, windows: list[tuple[int, int, list[str]]], steps: int, seed: int) -> None:
+    # A word of a toxic text and that of a clean one are two, since a text does not tell of its own.
+    words = sorted({(y, w) for _, y, ws in windows for w in ws})
     number = {w: k for k, w in enumerate(words)}
-    buckets, chars, n = word_inputs(words)
+    buckets, chars, n = word_inputs([w for _, w in words])
     starts = np.cumsum(n) - n
+    telling = np.empty((len(words), 2), np.float32)
+    for label in (0, 1):
+        some = np.array([k for k, (y, _) in enumerate(words) if y == label], dtype=np.int64)
+        if len(some):
+            telling[some] = evidence.features((buckets[some], chars[ragged(starts[some], n[some])], n[some]), label)
     index = np.full((len(windows), WINDOW), -1, np.int64)
-    for k, (_, _, ws) in enumerate(windows):
-        index[k, : len(ws)] = [number[w] for w in ws]
+    for k, (_, label, ws) in enumerate(windows):
+        index[k, : len(ws)] = [number[label, w] for w in ws]
     y = np.array([w[1] for w in windows], dtype=np.float32)
     rng = np.random.default_rng(seed)
     pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
@@ -387,7 +485,8 @@ def _train(net: Network, windows: list[tuple[int, int, list[str]]], steps: int,
             used = used[1:]
             inner = inner - 1
         mask = (part >= 0).astype(np.float32)
-        inputs = buckets[used], chars[ragged(starts[used], n[used])], n[used]
+        known = np.where(rng.random(len(used)) < UNKNOWN, -1, buckets[used])
+        inputs = known, chars[ragged(starts[used], n[used])], n[used], telling[used]
         net.learn(inputs, np.maximum(inner, 0), mask, y[some], np.ones(len(some), np.float32))
 
 
@@ -421,16 +520,16 @@ def _platt(s: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
 # -- scoring ----------------------------------------------------------------------------------
 
 
-def _reader(parameters: dict[str, np.ndarray]) -> Reader:
+def _reader(parameters: dict[str, np.ndarray], evidence: Evidence, own: int | None = None) -> Reader:
     """This worker's reader; kept between tasks with the same network."""
     key = zlib.crc32(b"".join(parameters[k].tobytes() for k in sorted(parameters)))
-    return held(("reader", key), lambda: Reader(parameters))
+    return held(("reader", key, own), lambda: Reader(parameters, evidence, own))
 
 
 def score(texts: list[str], model: dict | None) -> list[float]:
     if model is None:
         return [0.0] * len(texts)
-    best, _ = _reader(model["p"]).worst(texts)
+    best, _ = _reader(model["p"], model["evidence"]).worst(texts)
     p = 1 / (1 + np.exp(-np.clip(model["slope"] * np.maximum(best, -30).astype(float) + model["shift"], -30, 30)))
     return np.where(np.isfinite(best), p, 0.0).tolist()
 
@@ -455,11 +554,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Null and empty texts score 0 and stay, as all rows do without labels of both kinds. Repeated
+    rows are judged each; an empty table stays empty. Columns of any name pass through.
+    """
+    placed, at = by_place(docs)
+    if "text" not in at:
+        return docs
     scorer = _scorer(docs, labels)
-    name = "__pm_toxic"
-    scored = map_texts(docs, lambda texts: {name: scorer(texts)}, fields(**{name: "double"}), keep=True)
-    return scored.where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = map_texts(placed, lambda texts: {"__pm_toxic": scorer(texts)}, fields(__pm_toxic="double"), column=at["text"], keep=True)
+    return scored.where(F.col("__pm_toxic") < threshold).select(*placed.columns).toDF(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
