@@ -1,7 +1,9 @@
-"""Near-duplicates: SimHash by tiled exact comparison of 64-bit fingerprints, and shingle sets.
+"""Near-duplicates: SimHash by tiled exact comparison of fingerprints.
 
-``op1_simhash`` is the SimHash contract. The pipeline's ``near_dedup`` links texts by the exact
-Jaccard of their word shingles, with MinHash bands for candidates.
+Fingerprints meet in pairs of tiles, are compared by exclusive-or and bit counts, and tiles whose
+counts of set bits are too far apart are skipped. ``op1_simhash`` is the contract on 64 bits. The
+pipeline's ``near_dedup`` compares fingerprints of 512 bits, wide enough to tell a Jaccard of 0.8
+apart, and confirms each link on the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, docs_of, fields, map_texts, materialise, pick, small_batches
+from .common import by_place, discard, docs_of, fields, map_texts, materialise, pick, small_batches
 from .components import connected_components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -25,6 +27,8 @@ MAX_TILE = 1 << 18
 #: Tiles aimed at while a tile is smaller than that.
 AIM_TILES = 48
 ROWS_AT_ONCE = 32
+#: A fingerprint of more than one in this many rows is joined apart; there are fewer than this.
+HOT = 256
 
 
 def fingerprints(texts: list[str], words: int = 4) -> list[int]:
@@ -46,23 +50,26 @@ def fingerprints(texts: list[str], words: int = 4) -> list[int]:
         stops = ends[words - 1 :]
         hashed.extend([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), stops.tolist())])
         counts[k] = len(stops)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    if hashed:
-        h = np.array(hashed, dtype="<u8")
-        # Groups of at most 255 hashes of one text, so that a byte counter cannot overflow.
-        groups = (counts + 254) // 255
-        owner = np.repeat(np.arange(len(texts)), groups)
-        first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-        start = first[owner] + 255 * (np.arange(len(owner)) - np.concatenate(([0], np.cumsum(groups)[:-1]))[owner])
-        sums = np.empty((len(owner), 64), dtype=np.uint8)
-        for byte in range(8):
-            wide = _SPREAD[h.view(np.uint8)[byte::8]]
-            sums[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(wide, start).astype("<u8").view(np.uint8).reshape(-1, 8)
-        total = np.zeros((len(texts), 64), dtype=np.int64)
-        np.add.at(total, owner, sums)
-        bits = (2 * total > counts[:, None]).astype(np.uint8)
-        out = np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u8")
-    return out.astype(np.uint64).view(np.int64).tolist()
+    return majority(np.array(hashed, dtype="<u8"), counts).view(np.int64).tolist()
+
+
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For runs of ``counts[k]`` hashes, the bits that over half of them have; 0 for an empty run."""
+    if not len(h):
+        return np.zeros(len(counts), dtype=np.uint64)
+    # Groups of at most 255 hashes of one text, so that a byte counter cannot overflow.
+    groups = (counts + 254) // 255
+    owner = np.repeat(np.arange(len(counts)), groups)
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    start = first[owner] + 255 * (np.arange(len(owner)) - np.concatenate(([0], np.cumsum(groups)[:-1]))[owner])
+    sums = np.empty((len(owner), 64), dtype=np.uint8)
+    for byte in range(8):
+        wide = _SPREAD[h.view(np.uint8)[byte::8]]
+        sums[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(wide, start).astype("<u8").view(np.uint8).reshape(-1, 8)
+    total = np.zeros((len(counts), 64), dtype=np.int64)
+    np.add.at(total, owner, sums)
+    bits = (2 * total > counts[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u8").astype(np.uint64)
 
 
 def with_fingerprint(docs: DataFrame, words: int = 4, column: str = "fp") -> DataFrame:
@@ -164,15 +171,21 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
     gives an empty result. Other columns are ignored.
     """
     fps = materialise(with_fingerprint(pick(docs, doc_id="long", text="string"), words), "simhash")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     found = materialise(links(nodes.select("fp"), radius), "simhash-links")
     roots = materialise(connected_components(found, "simhash-cc"), "simhash-roots")
     discard(docs.sparkSession, found)
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     classes = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    named = nodes.join(classes, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(nodes.join(classes, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")), "simhash-named")
+    # A fingerprint with a good part of all rows would be one task's: there are few such, and
+    # they are looked up in a table of at most HOT rows instead.
+    total = named.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > max(1, total // HOT)
+    rows = fps.join(F.broadcast(named.where(often).select("fp", F.lit(True).alias("hot"), F.col("component_id").alias("c"))), "fp", "left")
+    some = rows.where("hot").select("doc_id", "fp", F.col("c").alias("component_id"))
+    return some.union(rows.where("hot IS NULL").select("doc_id", "fp").join(named.where(~often), "fp").select("doc_id", "fp", "component_id"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +195,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A near copy: as many of the two texts' distinct shingles are shared as NEAR says (4 of 5: Jaccard 0.8).
 NEAR = (4, 5)
-#: MinHash bands and values in each; a pair at Jaccard 0.8 meets in no band with chance 3e-6.
-BANDS, BAND_ROWS = 24, 4
-_MIX = np.random.default_rng(5).integers(0, 1 << 64, (3, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+#: 64-bit words of a wide fingerprint.
+WIDE = 8
+#: Bits in which near copies' fingerprints differ at most: in the first word, and in all. At a
+#: Jaccard of 0.8 a bit differs with chance 0.15 to 0.163, so these are at least 4.5 standard
+#: deviations above the mean; for sets of up to TINY shingles (chance 0.188) there are wider ones.
+TINY = 6
+FIRST, RADIUS = (24, 27), (121, 140)
+#: Steps of the radius: closer pairs are linked first, which are the likelier to be confirmed.
+LEVELS = (0.5, 0.65, 0.8, 1.0)
+#: Largest tile of wide fingerprints, and tiles aimed at for each size of set below that.
+WIDE_TILE, WIDE_AIM = 1 << 16, 8
+_MIX = np.random.default_rng(5).integers(0, 1 << 64, (2, WIDE), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(texts: list[str], words: int = 5) -> list[np.ndarray]:
@@ -209,25 +231,120 @@ def set_keys(sets: list[np.ndarray]) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64).tolist()
 
 
-def band_keys(sets: list[np.ndarray]) -> list[list[int]]:
-    """The MinHash bucket of each set in every band; none for an empty set."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    full = np.flatnonzero(sizes)
-    out: list[list[int]] = [[] for _ in sets]
-    if not len(full):
-        return out
-    every = np.concatenate([sets[i] for i in full])
-    starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-    keys = np.empty((len(full), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(full), band, dtype=np.uint64)
-        for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
-            key = (key + np.minimum.reduceat((every ^ _MIX[0, k]) * _MIX[1, k], starts)) * _MIX[2, k]
-            key ^= key >> np.uint64(31)
-        keys[:, band] = key
-    for i, row in zip(full.tolist(), keys.view(np.int64).tolist()):
-        out[i] = row
-    return out
+def wide_prints(sets: list[np.ndarray]) -> list[bytes]:
+    """The SimHash of each set in WIDE words, from as many mixtures of its hashes."""
+    counts = np.array([len(s) for s in sets], dtype=np.int64)
+    every = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
+    out = np.empty((len(sets), WIDE), dtype=np.uint64)
+    for k in range(WIDE):
+        h = every * _MIX[0, k]
+        h ^= h >> np.uint64(32)
+        h *= _MIX[1, k]
+        h ^= h >> np.uint64(29)
+        out[:, k] = majority(h.astype("<u8", copy=False), counts)
+    return [row.tobytes() for row in out]
+
+
+def _close(a: np.ndarray, b: np.ndarray, first: int, radius: int, labels: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in ``a``, in ``b``) of pairs within both radii and with different labels.
+
+    ``labels`` are those of ``a`` and then those of ``b``, and may change between two results.
+    Rows are in order of their number of set bits; stretches too far apart are passed over.
+    """
+    ones_a, ones_b = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
+    first_a, first_b = np.ascontiguousarray(a[:, 0]), np.ascontiguousarray(b[:, 0])
+    shift = 0 if same else len(a)
+    wide = np.empty((ROWS_AT_ONCE, 8192), dtype=np.uint64)
+    count = np.empty((ROWS_AT_ONCE, 8192), dtype=np.uint8)
+    for i in range(0, len(a), ROWS_AT_ONCE):
+        rows = first_a[i : i + ROWS_AT_ONCE]
+        start = int(np.searchsorted(ones_b, ones_a[i] - radius, "left"))
+        stop = int(np.searchsorted(ones_b, ones_a[i + len(rows) - 1] + radius, "right"))
+        for j in range(max(start, i) if same else start, stop, 8192):
+            cols = first_b[j : min(j + 8192, stop)]
+            x, c = wide[: len(rows), : len(cols)], count[: len(rows), : len(cols)]
+            np.bitwise_xor(rows[:, None], cols[None, :], out=x)
+            np.bitwise_count(x, out=c)
+            if c.min() > first:
+                continue
+            p, q = np.nonzero(c <= first)
+            p, q = p + i, q + j
+            good = labels[p] != labels[shift + q]
+            p, q = p[good], q[good]
+            for lo in range(0, len(p), 65536):
+                u, v = p[lo : lo + 65536], q[lo : lo + 65536]
+                near = np.bitwise_count(a[u] ^ b[v]).sum(axis=1, dtype=np.int64) <= radius
+                if near.any():
+                    yield u[near], v[near]
+
+
+def _wide_links(a: np.ndarray, b: np.ndarray, roots: np.ndarray, first: int, radius: int, same: bool, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within the radii whose ``roots`` differ: all, or a spanning forest of them."""
+    labels = np.unique(roots, return_inverse=True)[1]
+    if not forest:
+        found = list(_close(a, b, first, radius, labels, same))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    parent = np.arange(labels.max(initial=-1) + 1)
+    shift = 0 if same else len(a)
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for level in LEVELS:
+        for u, v in _close(a, b, first, int(radius * level), labels, same):
+            fresh = labels[u] != labels[shift + v]
+            before = len(out)
+            for p, q in zip(u[fresh].tolist(), v[fresh].tolist()):
+                s, t = top(labels[p]), top(labels[shift + q])
+                if s != t:
+                    parent[max(s, t)] = min(s, t)
+                    out.append((p, q))
+            if len(out) > before:
+                while (parent != parent[parent]).any():
+                    parent[:] = parent[parent]
+                labels[:] = parent[labels]
+    return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
+
+
+def near_candidates(nodes: DataFrame, forest: bool) -> DataFrame:
+    """(u, v), u the greater: pairs of ``nodes(node, n, bits, root)`` that may be near copies.
+
+    Only pairs with different roots count; with ``forest``, enough of the pairs of each two tiles
+    to connect all that they connect, so a bunch of near copies gives no quadratic output. Sets
+    whose sizes differ by more than a quarter cannot reach NEAR, so nodes are put into tiles by
+    the logarithm of their size, and meet those of the sizes next to theirs; the counts of some
+    dozens of sizes reach the driver.
+    """
+    few, many = NEAR
+    sized = nodes.where("n > 0").withColumn("p", F.floor(F.log(F.col("n").cast("double")) / float(np.log(many / few))).cast("int"))
+    sizes = {r["p"]: r["n"] for r in sized.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    top = max(sizes, default=0) + 2
+    subs = [-(-sizes.get(p, 0) // max(1, min(WIDE_TILE, max(4096, -(-sizes.get(p, 0) // WIDE_AIM))))) for p in range(top)]
+    lit = "array(" + ",".join(map(str, subs)) + ")"
+    tiled = sized.selectExpr("node", "n", "bits", "root", "p", f"cast(pmod(xxhash64(node, 7), greatest({lit}[p], 1)) as int) AS s")
+    partners = f"flatten(transform(sequence(greatest(p - 1, 0), p + 1), q -> transform(sequence(0, {lit}[q]), r -> if(r < {lit}[q], q * 16777216L + r, -1L))))"
+    sent = tiled.selectExpr("node", "n", "bits", "root", "p * 16777216L + s AS t", f"explode(filter({partners}, x -> x >= 0)) AS o").selectExpr("least(t, o) AS ta", "greatest(t, o) AS tb", "t", "node", "n", "bits", "root")
+
+    def kernel(key, table):  # no hints: Spark reads them
+        ta, tb = key[0].as_py(), key[1].as_py()
+        t, names, roots = (table.column(c).to_numpy() for c in ("t", "node", "root"))
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").astype(np.uint64).reshape(-1, WIDE)
+        u = v = np.empty(0, np.int64)
+        if len(names) and (ta == tb or ((t == ta).any() and (t == tb).any())):
+            tiny = int(table.column("n").to_numpy().min() <= TINY)
+            order = np.argsort(np.bitwise_count(bits).sum(axis=1, dtype=np.int64), kind="stable")
+            a = order[t[order] == ta]
+            b = a if ta == tb else order[t[order] == tb]
+            labels = roots[a] if ta == tb else roots[np.concatenate([a, b])]
+            p, q = _wide_links(bits[a], bits[b], labels, FIRST[tiny], RADIUS[tiny], ta == tb, forest)
+            u, v = names[a[p]], names[b[q]]
+        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    return sent.groupBy("ta", "tb").applyInArrow(kernel, "u long, v long")
 
 
 def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -254,29 +371,23 @@ def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the nodes that have near copies; root is the smallest node reachable.
 
-    ``nodes(node, bands)`` holds each set of shingles once; ``sets`` gives (node, n, items) of
-    a table of nodes. Nodes that share a bucket are candidates. First each is compared with
-    the smallest node of its buckets, which joins large bunches without quadratic output.
-    Then, in every bucket, nodes outside that one's class are compared with all nodes of other
-    classes, so no candidate pair is left open: it is compared, or its ends are linked already.
+    ``nodes(node, n, bits)`` holds each set of shingles once; ``sets`` gives (node, n, items) of
+    a table of nodes. Pairs of close fingerprints are candidates. First a spanning forest of them
+    is confirmed on the whole sets, closest pairs first, which joins large bunches without
+    quadratic output. Then the nodes that have any candidate are compared once more, and all
+    candidates between different classes are confirmed, so none is left open: it is compared on
+    the whole sets, or its ends are linked already.
     """
     spark = nodes.sparkSession
-    dealt = materialise(nodes.select("node", F.explode("bands").alias("bucket")), "dedup-buckets")
-    centres = dealt.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    shared = materialise(dealt.join(centres, "bucket"), "dedup-shared")
-    star = materialise(shared.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "dedup-star")
-    found = materialise(sets(shared.select("node").distinct()), "dedup-sets")
-    links = materialise(near_links(star, found), "dedup-links")
+    found = materialise(near_candidates(nodes.withColumn("root", F.col("node")), True).distinct(), "dedup-forest")
+    touched = materialise(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "dedup-touched")
+    whole = materialise(sets(touched), "dedup-sets")
+    links = materialise(near_links(found, whole), "dedup-links")
     roots = materialise(connected_components(links, "dedup-cc"), "dedup-roots")
-    named = shared.join(roots, "node", "left").select("bucket", "node", "centre", F.coalesce("root", "node").alias("root"))
-    main = named.where("node = centre").select("bucket", F.col("root").alias("main"))
-    named = materialise(named.join(main, "bucket"), "dedup-named")
-    odd = named.where("root <> main").select("bucket", F.col("node").alias("o"), F.col("root").alias("r"))
-    rest = named.where("node <> centre").select("bucket", "node", "root")
-    cross = odd.join(rest, (odd["bucket"] == rest["bucket"]) & (odd["r"] != rest["root"])).select(F.greatest("o", "node").alias("u"), F.least("o", "node").alias("v")).distinct()
-    cross = materialise(cross.join(star, ["u", "v"], "left_anti"), "dedup-cross")
-    more = materialise(near_links(cross, found), "dedup-more")
-    discard(spark, dealt, shared, star, found, links, named, cross)
+    again = materialise(nodes.join(touched, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-again")
+    cross = materialise(near_candidates(again, False).distinct().join(found, ["u", "v"], "left_anti"), "dedup-cross")
+    more = materialise(near_links(cross, whole), "dedup-more")
+    discard(spark, found, touched, whole, links, again, cross)
     if more.isEmpty():
         return roots
     every = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
@@ -288,33 +399,37 @@ def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Two texts are linked if their sets of ``words``-word shingles (words by ASCII white space,
     in ASCII lower case) have a Jaccard of NEAR or more; a class is all that links reach.
-    MinHash bands give the candidates, and each link is confirmed on the whole sets. Null and
-    empty texts (and those of white space) are one class. The row with the smallest doc_id
-    stays (null doc_ids last, ties by the text's hash), and rows with that same doc_id and text
-    count as one.
+    Fingerprints of the sets, compared tile by tile, give the candidates (a pair at 0.8 is missed
+    with a chance of about 1e-5), and each link is confirmed on the whole sets. Null and empty
+    texts (and those of white space) are one class. The row with the smallest doc_id stays
+    (numbers first, then other doc_ids as text, null last; ties by the text's hash), and rows
+    with that same doc_id and text count as one. An empty table stays empty; columns of any name
+    pass through, and an absent one counts as null.
     """
-    key = "__pm_key"
-    keyed = docs.withColumn(key, F.struct(F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("i"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h")))
-    plain = keyed.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    placed, at = by_place(docs)
+    named = F.col(at["doc_id"]) if "doc_id" in at else F.lit(None)
+    text = F.col(at["text"]).cast("string") if "text" in at else F.lit(None).cast("string")
+    key = F.struct(F.coalesce(named.cast("string").try_cast("bigint"), F.lit((1 << 63) - 1)).alias("i"), F.coalesce(named.cast("string"), F.lit("\U0010ffff")).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
+    plain = placed.select(key.alias("key"), text.alias("text"))
 
     def sketch(texts: list[str]) -> dict[str, list]:
         sets = shingles(texts, words)
-        return {"node": set_keys(sets), "bands": band_keys(sets)}
+        return {"node": set_keys(sets), "n": [len(s) for s in sets], "bits": wide_prints(sets)}
 
     def whole(texts: list[str]) -> dict[str, list]:
         sets = shingles(texts, words)
         return {"node": set_keys(sets), "n": [len(s) for s in sets], "items": [s.tobytes() for s in sets]}
 
-    rows = materialise(map_texts(plain, sketch, fields(node="long", bands="longs")), "dedup")
-    nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("rep"), F.any_value("bands").alias("bands")), "dedup-nodes")
+    rows = materialise(map_texts(plain, sketch, fields(node="long", n="long", bits="binary")), "dedup")
+    nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "dedup-nodes")
 
     def sets_of(some: DataFrame) -> DataFrame:
         reps = nodes.join(some, "node", "left_semi").select(F.col("rep").alias("key"))
         chosen = plain.join(reps, "key", "left_semi").dropDuplicates(["key"])
         return map_texts(chosen, whole, fields(node="long", n="long", items="binary")).drop("key")
 
-    roots = near_classes(nodes.select("node", "bands"), sets_of)
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.i").alias("__pm_i"), F.col("rep.h").alias("__pm_h"))
-    held = keyed.withColumns({"__pm_i": F.col(f"{key}.i"), "__pm_h": F.col(f"{key}.h")}).drop(key)
-    one = held.join(kept, ["__pm_i", "__pm_h"], "left_semi").dropDuplicates(["__pm_i", "__pm_h"])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    roots = near_classes(nodes.select("node", "n", "bits"), sets_of)
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("rep")).select("rep.i", "rep.d", "rep.h")
+    held = placed.withColumns({k: key[k] for k in ("i", "d", "h")})
+    one = held.join(kept, ["i", "d", "h"], "left_semi").dropDuplicates(["i", "d", "h"])
+    return one.select(*placed.columns).toDF(*docs.columns)
