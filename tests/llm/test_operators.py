@@ -1,9 +1,11 @@
 """Every operator against a plain version on small tables with nulls, ties, repeats and clashes."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pagemark.llm.common import materialise
 from pagemark.llm import bpe, components, packing, pii, quality_model, quality_rules, simhash, token_files, tokens, tool_calls, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,6 +46,13 @@ def clash(docs):
     return docs.withColumns({c: F.lit("x") for c in ("fp", "kept", "score", "row", "piece", "length", "spans", "n_words", "key", "part", "max_symbols", "y", "component_id")})
 
 
+@pytest.fixture(scope="module")
+def awkward(docs):
+    """The same rows beside columns whose names differ in case only, or are those used inside."""
+    names = ("TEXT", "Doc_Id", "LANG", "__pm_t", "__pm_i", "__pm_h", "__pm_null", "__pm_text", "__pm_key", "__pm_toxic", "__pm_q_lang", "__pm_max_symbols", "c0", "c1", "i", "n", "bits", "node")
+    return docs.select(*[F.lit("no").alias(c) for c in names], "*")
+
+
 @pytest.fixture(scope="module")
 def none(spark):
     return spark.createDataFrame([], DOCS)
@@ -165,6 +175,17 @@ def test_quality_limits_follow_the_group(spark):
     assert all(out[r[0]] for r in good) and not out[5000] and out[5001]
 
 
+def test_quality_limits_move_with_the_group(spark):
+    """Every group has limits of its own: no part of them is fixed."""
+    made = lambda k, n, marks, size: [(f"{'#' * marks(i)} " + words(100, 70_000 + 1000 * k + i)).replace("a", "a" * size) + ("\nx" * (i % 7) if k else "") for i in range(n)]
+    rows = [("calm", t) for t in made(0, 500, lambda i: 0, 1)] + [("loud", t) for t in made(1, 500, lambda i: i % 30, 4)] + [("few", t) for t in made(2, 8, lambda i: i % 30, 4)]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    limits = {r["__pm_ts"]: r for r in quality_rules.thresholds(materialise(quality_rules.sketches(materialise(quality_rules.with_counts(docs), "counts")), "sketch")).collect()}
+    for m in ("symbols", "word_length"):
+        calm, few, loud = (limits[s][f"__pm_max_{m}"] for s in ("calm", "few", "loud"))
+        assert len({calm, few, loud}) == 3, m
+
+
 def test_sketches_add_up(spark):
     df = spark.createDataFrame([(i, words(60 + i % 50, i), "en", f"s{i % 2}") for i in range(80)], "doc_id long, text string, lang string, source string")
     counted = quality_rules.with_counts(df)
@@ -181,25 +202,58 @@ def test_top_k_is_exact(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
     vec = topk.quantised(table)
     got = defaultdict(list)
-    for r in topk.exact_top_k(vec, vec.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+    for r in topk.exact_top_k(vec, "vec_id % 20 = 0", 20).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     whole = {i: np.floor(v[i] * 64).astype(int) for i in range(400)} | {904: np.array([32, 64]), 920: np.array([32, 128])}
+    every = [*whole.items(), (3, whole[3])]  # vec_id 3 is there twice
     for q in [i for i in whole if i % 20 == 0]:
-        best = sorted((-int(whole[q] @ c), i) for i, c in whole.items() if i != q and len(c) == len(whole[q]))[:20]
+        best = sorted((-int(whole[q] @ c), i) for i, c in every if i != q and len(c) == len(whole[q]))[:20]
         assert got[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
     empty = topk.quantised(table.limit(0))
-    assert topk.exact_top_k(empty, empty).count() == 0
+    assert topk.exact_top_k(empty, "vec_id % 20 = 0").count() == 0 and topk.exact_top_k(vec, "false").count() == 0
+
+
+def test_top_k_over_several_blocks(spark, monkeypatch):
+    """Floors from the first block, rows that share a vec_id, and a query among its own copies."""
+    monkeypatch.setattr(topk, "CANDIDATES", 60)
+    monkeypatch.setattr(topk, "QUERIES", 5)
+    rng = np.random.default_rng(9)
+    v = rng.integers(-20, 21, size=(300, 8))
+    ids = [i // 2 if i < 40 else i for i in range(300)]
+    vec = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, vec array<long>")
+    got = Counter(tuple(r) for r in topk.exact_top_k(vec, "vec_id % 10 = 0", 7).collect())
+    want = Counter()
+    for a, (q, x) in enumerate(zip(ids, v)):
+        if q % 10 == 0:
+            best = sorted((-int(x @ y), i) for b, (i, y) in enumerate(zip(ids, v)) if b != a)[:7]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert got == want
 
 
 def test_threshold_stops_early_on_skewed_lists():
     v = np.zeros((4000, 4), np.int64)
     v[:, 0] = np.arange(4000)
     lists = topk.Lists(v, np.arange(4000))
-    met = []
-    seen = lists.seen
-    lists.seen = lambda q, d: met.append(d) or seen(q, d)
-    ids, scores = lists.best(np.array([3, 0, 0, 0]), -1, 5)
-    assert ids.tolist() == [3999, 3998, 3997, 3996, 3995] and max(met) < 100
+    found = lists.best(np.array([3, 0, 0, 0]), -1, 5)
+    assert lists.ids[found.rows].tolist() == [3999, 3998, 3997, 3996, 3995] and found.met < 200 and found.stopped
+
+
+def test_threshold_ends_by_the_bound():
+    """Searches end by the bound before the lists do; with spread axes they score a part only."""
+    rng = np.random.default_rng(12)
+    turn = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    v = np.round((rng.normal(size=(3000, 24)) * 200 * 0.6 ** np.arange(24)) @ turn + 50).astype(np.int64)
+    lists = topk.Lists(v, np.arange(3000))
+    met, stopped = [], 0
+    for q in range(0, 3000, 60):
+        got = lists.best(v[q], q, 10)
+        order = [x for x in np.lexsort((np.arange(3000), -(v @ v[q]))) if x != q][:10]
+        assert lists.ids[got.rows].tolist() == order and got.scores.tolist() == (v[order] @ v[q]).tolist()
+        met.append(got.met)
+        stopped += got.stopped
+        floor = lists.best(v[q], q, 10, float(got.scores[-1]))
+        assert floor.rows.tolist() == got.rows.tolist() and floor.met <= 3000
+    assert stopped == len(met) and np.mean(met) < 2000
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -256,6 +310,63 @@ def test_pii_digit_names_in_addresses():
     assert [(pii.KINDS[k], text[s:e]) for s, k, e in pii.find_spans(text)[1]] == [("email", text)]
 
 
+HUGE = {"digits": "7" * 10**6, "dotted": "a." * 500_000, "dots": "a dot " * 170_000, "plain": "john.doe@example.org " * 50_000, "disguised": "john dot doe at example dot org, " * 31_250, "spaces": "a" + " " * 500_000 + "@" + " " * 500_000 + "b", "ats": "at dot " * 140_000, "numbers": "1.2.3.4." * 125_000, "names": "one " * 250_000, "brackets": "( " * 500_000, "bracketed": "x (at) " * 140_000}
+
+
+@pytest.mark.parametrize("name", sorted(HUGE))
+def test_pii_is_linear(name):
+    start = time.process_time()
+    base, every = pii.find_spans(HUGE[name])
+    assert time.process_time() - start < 12
+    assert len(every) == {"plain": 50_000, "disguised": 31_250, "numbers": 125_000}.get(name, 0)
+
+
+def disguise(rng):
+    """A text, and the kind and the place of what it disguises."""
+    letters = lambda n: "".join(rng.choice("abcdehiklmnoprstuvwxyz") for _ in range(n))
+    kind = rng.choice(("email", "email", "phone", "ip"))
+    if kind == "email":
+        at = rng.choice((" at ", " [at] ", "(at)", " {AT} ", " <at> ", " (@) ", " arroba "))
+        dot = rng.choice((" dot ", " [dot] ", "(dot)", " (.) ", " punkt ", "[.]"))
+        span = f"{letters(rng.randint(3, 8))}{rng.choice(('.', '_', '', dot))}{letters(rng.randint(3, 8))}{at}{letters(rng.randint(4, 9))}{dot}{rng.choice(('com', 'org', 'net', 'de'))}"
+        if rng.random() < 0.4:
+            span = "".join(rng.choice([k for k, v in pii.GLYPHS.items() if v == c] or [c]) if rng.random() < 0.3 else c for c in span.replace(at, "@").replace(dot, "."))
+    elif kind == "phone":
+        digits = f"{rng.randint(1, 99)}{rng.randint(10**9, 10**10 - 1)}"
+        names = rng.choice(pii._DIGIT_WORDS).split()
+        style = rng.random()
+        if style < 0.4:
+            span = "plus " + " ".join(names[int(d)] for d in digits)
+        elif style < 0.7:
+            span = "+" + " ".join(names[int(d)] if rng.random() < 0.4 else d for d in digits)
+        else:
+            span = "+" + "".join(chr(0xFF10 + int(d)) if rng.random() < 0.6 else d for d in digits)
+    else:
+        span = rng.choice(("[.]", " dot ", "(dot)", " [dot] ")).join(str(rng.randint(0, 255)) for _ in range(4))
+    before, after = (" ".join(letters(rng.randint(2, 7)) for _ in range(rng.randint(0, 6))) for _ in range(2))
+    text = f"{before}: {span}; {after}"
+    return text, kind, span
+
+
+def test_pii_recall_of_disguises():
+    rng = random.Random(31)
+    found = total = 0
+    for _ in range(2000):
+        text, kind, span = disguise(rng)
+        if any(text[s:e] == span for s, k, e in pii.base_spans(text)):
+            continue  # not disguised after all
+        total += 1
+        found += any(pii.KINDS[k] == kind and text[s:e] == span for s, k, e in pii.find_spans(text)[1])
+    print(f"{found} of {total} disguises found")
+    assert total > 1500 and found >= 0.95 * total
+
+
+def test_pii_lookalikes_are_whole():
+    assert all(v == "" or v.isascii() for v in pii.GLYPHS.values()) and not any(map(str.isascii, pii.GLYPHS))
+    text = "ivan.\u0458@example.org"
+    assert [(k, text[s:e]) for s, k, e in pii.find_spans(text)[1]] == [(0, text)]
+
+
 def test_pii_rows(docs, clash, none):
     got = pii.pii_spans(docs).collect()
     assert len(got) == len(ROWS) and rows_of(pii.pii_spans(clash)) == rows_of(pii.pii_spans(docs)) and pii.pii_spans(none).count() == 0
@@ -385,6 +496,40 @@ def test_plans_use_each_piece_and_waste_little(seed):
     assert sum(t for _, t in plan) <= len(opened)
 
 
+def test_plans_fill_with_pairs_and_triples():
+    """On lengths like those of texts the full method is at the lower bound."""
+    rng = np.random.default_rng(4)
+    n = np.exp(rng.normal(6.2, 1.0, 6000)).astype(int) + 1
+    count = -(-n // 2048)
+    lengths = np.concatenate([np.full((count - 1).sum(), 2048), n - (count - 1) * 2048])
+    counts = np.bincount(lengths, minlength=2049)
+    plan = packing.plan_sequences(counts)
+    filled = Counter()
+    for combo, times in plan:
+        if sum(combo) == 2048:
+            filled[len(combo)] += times
+    assert sum(times for _, times in plan) <= -(-int(lengths.sum()) // 2048) + 1
+    assert filled[2] and filled[3] > 20 and filled[4] > 20
+
+
+def test_sum_index_finds_what_there_is():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        counts = rng.integers(0, 3, 31) * (rng.random(31) < 0.4)
+        counts[0] = 0
+        index = packing.SumIndex(counts, 30)
+        base = int(rng.integers(1, 31))
+        left = counts.copy()
+        left[base] += 1  # one of them is the base
+        index = packing.SumIndex(left, 30)
+        stock = [x for x in range(1, 31) for _ in range(int(counts[x]))]
+        for s in range(1, 31):
+            for parts in (1, 2, 3):
+                exists = any(sum(c) == s for c in itertools.combinations(stock, parts))
+                got = index.find(left, base, s, parts)
+                assert (got is not None) == exists and (got is None or sum(got) == s and len(got) == parts and not Counter(got) - Counter(stock))
+
+
 def test_statistics_and_isotonic():
     assert quality_model.statistics("") == [0.0] * 20 and len(quality_model.statistics(LONG)) == 20
     at, value = quality_model.isotonic(np.array([1, 2, 3, 4.0]), np.array([0, 1, 0, 1.0]))
@@ -447,6 +592,79 @@ def test_windows_cover_every_word():
         assert seen == set(range(n)) and all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
 
 
+def test_odd_column_names_do_no_harm(spark, docs, awkward):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    same = {
+        "simhash": simhash.simhash_groups, "rules": quality_rules.quality_rules, "pii": pii.pii_spans, "bpe": bpe.encode_digests,
+        "quality": lambda d: quality_model.quality_scores(d, labels), "toxic": lambda d: toxicity.toxicity_scores(d, labels),
+        "pack": lambda d: packing.best_fit_pack(d).select("doc_id", "piece", "start", "length", "ids_crc32"),
+    }
+    for name, f in same.items():
+        assert rows_of(f(awkward)) == rows_of(f(docs)), name
+    at = awkward.columns.index("doc_id")
+    through = {"good": quality_rules.keep_good, "dedup": simhash.near_dedup, "mask": pii.redact_texts, "clean": lambda d: toxicity.drop_toxic(d, labels)}
+    for name, f in through.items():
+        got = f(awkward)
+        assert got.columns == awkward.columns, name
+        rows = [tuple(r) for r in got.collect()]
+        assert all(r[:at] == ("no",) * at for r in rows), name
+        assert sorted((r[at:] for r in rows), key=str) == rows_of(f(docs)), name
+
+
+def test_windows_score_as_in_a_plain_loop():
+    rng = np.random.default_rng(6)
+    net = toxicity.Network(4)
+    net.p = {k: rng.normal(size=v.shape).astype(np.float32) * 0.4 for k, v in net.p.items()}
+    evidence = toxicity.Evidence.of([words(60, i) + (" zugnork" if i % 2 else "") for i in range(12)], [i % 2 for i in range(12)])
+    texts = [words(n, 40 + n) for n in (1, 7, 32, 33, 90)] + [""]
+    logits, count = toxicity.Reader(net.p, evidence).window_logits(texts)
+    p, s = net.p, lambda x: 1 / (1 + np.exp(-x))
+    got = iter(logits.tolist())
+    for text, n in zip(texts, count.tolist()):
+        ws = [toxicity.clean(w) for w in text.lower().split()]
+        starts = toxicity.window_starts(len(ws))
+        assert len(starts) == n
+        for start in starts:
+            rows = []
+            for w in ws[start : start + toxicity.WINDOW]:
+                inputs = toxicity.word_inputs([w])
+                chars = np.mean([p["char"][c % toxicity.CHAR_BUCKETS] for c in inputs[1]], axis=0)
+                rows.append(np.concatenate([p["word"][inputs[0][0] % toxicity.WORD_BUCKETS], chars, evidence.features(inputs)[0]]))
+            states = {}
+            for d in "fb":
+                h, out = np.zeros(toxicity.HIDDEN), []
+                for x in rows if d == "f" else rows[::-1]:
+                    g, u = x @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+                    k = toxicity.HIDDEN
+                    r, z = s(g[:k] + u[:k]), s(g[k : 2 * k] + u[k : 2 * k])
+                    h = (1 - z) * np.tanh(g[2 * k :] + r * u[2 * k :]) + z * h
+                    out.append(h)
+                states[d] = out if d == "f" else out[::-1]
+            both = np.array([np.concatenate(x) for x in zip(states["f"], states["b"])])
+            e = np.exp(np.tanh(both @ p["A"]) @ p["a"])
+            assert next(got) == pytest.approx(float((e / e.sum()) @ both @ p["w"] + p["bias"][0]), abs=2e-3)
+
+
+def test_evidence_leaves_out_the_own_text():
+    texts, labels = ["zug one", "zug two", "ab two", "ab three"], [1, 1, 0, 0]
+    e = toxicity.Evidence.of(texts, labels)
+    tell = lambda w, own=None: float(e.features(toxicity.word_inputs([w]), own)[0, 0])
+    assert tell("zug") > tell("zug", 1) > 0 > tell("ab", 0) and tell("one", 1) == 0 and tell("two") == 0
+
+
+def test_normal_equations_give_plain_ridge(spark):
+    """The partition-summed solution is that of one matrix of all rows."""
+    docs, labels = labelled_docs(spark, 260)
+    model = quality_model.fit(docs, labels)
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    some = [(r.text, y[r.doc_id]) for r in docs.collect() if r.doc_id in y and zlib.crc32(str(r.doc_id).encode()) % 5]
+    x = np.array([quality_model.statistics(t) for t, _ in some])
+    assert np.allclose(model["mean"], x.mean(axis=0)) and np.allclose(model["std"], np.maximum(x.std(axis=0), 1e-3))
+    z = quality_model._signal(x, model)
+    beta = np.linalg.lstsq(np.vstack([z, np.sqrt(quality_model.RIDGE) * np.eye(z.shape[1])]), np.concatenate([[t for _, t in some], np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(model["beta"], beta, atol=1e-6)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(1)
