@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import doc_keys
+
 MAX_PAGES, MAX_DOCS = 30_001, 500
 HEADER_BONUS = 10
 SNIPPET = 320
@@ -16,29 +18,32 @@ OPEN, CLOSE = "ˋ", "ˊ"
 
 
 def page_ranks(hits: DataFrame) -> DataFrame:
-    """(doc, page_no, n, rank, positions): 1 + sum of 30 div max(5, gap) + ln(n)."""
-    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("doc", "page_no").orderBy("pos"))
+    """(source, doc, page_no, n, rank, positions): 1 + sum of 30 div max(5, gap) + ln(n)."""
+    page = [*doc_keys(hits), "page_no"]
+    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy(*page).orderBy("pos"))
     near = hits.withColumn("bonus", F.when(gap.isNull(), F.lit(0)).otherwise(F.floor(F.lit(30) / F.greatest(F.lit(5), gap))))
-    pages = near.groupBy("doc", "page_no").agg(F.count(F.lit(1)).alias("n"), F.sum("bonus").alias("bonus"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return pages.select("doc", "page_no", "n", (1 + F.col("bonus") + F.ln("n")).alias("rank"), "positions")
+    pages = near.groupBy(*page).agg(F.count(F.lit(1)).alias("n"), F.sum("bonus").alias("bonus"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return pages.select(*page, "n", (1 + F.col("bonus") + F.ln("n")).alias("rank"), "positions")
 
 
 def cap_pages(pages: DataFrame, most: int = MAX_PAGES) -> DataFrame:
     """The first pages by document and number."""
-    return pages.orderBy("doc", "page_no").limit(most)
+    return pages.orderBy(*doc_keys(pages), "page_no").limit(most)
 
 
 def doc_ranks(pages: DataFrame) -> DataFrame:
-    """(doc, n_pages, rank): 1 + ln of the sum of page ranks; tenfold if the header was hit."""
-    docs = pages.groupBy("doc").agg(F.count(F.when(F.col("page_no") > 0, 1)).alias("n_pages"), F.sum("rank").alias("s"), F.min("page_no").alias("first"))
-    return docs.select("doc", "n_pages", ((1 + F.ln("s")) * F.when(F.col("first") == 0, HEADER_BONUS).otherwise(1)).alias("rank"))
+    """(source, doc, n_pages, rank): 1 + ln of the sum of page ranks; tenfold if the header was hit."""
+    keys = doc_keys(pages)
+    docs = pages.groupBy(*keys).agg(F.count(F.when(F.col("page_no") > 0, 1)).alias("n_pages"), F.sum("rank").alias("s"), F.min("page_no").alias("first"))
+    return docs.select(*keys, "n_pages", ((1 + F.ln("s")) * F.when(F.col("first") == 0, HEADER_BONUS).otherwise(1)).alias("rank"))
 
 
 def top_docs(docs: DataFrame, most: int = MAX_DOCS, ascending: bool = False, compat: bool = False) -> DataFrame:
     """The best documents; ``compat`` takes the first by name and then orders them upward."""
+    keys = doc_keys(docs)
     if compat:
-        return docs.orderBy("doc").limit(most).orderBy("rank", "doc")
-    return docs.orderBy(F.col("rank").asc() if ascending else F.col("rank").desc(), "doc").limit(most)
+        return docs.orderBy(*keys).limit(most).orderBy("rank", *keys)
+    return docs.orderBy(F.col("rank").asc() if ascending else F.col("rank").desc(), *reversed(keys)).limit(most)
 
 
 def word_info(hits: DataFrame, names: list[str]) -> DataFrame:
@@ -78,21 +83,37 @@ def snippet(text: str, positions: list[int], size: int = SNIPPET) -> str:
 
 
 def snippets(pages: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, page_no, rank, text, words) of ranked body pages, texts joined by page."""
+    """(source, doc, page_no, rank, positions, text, words) of ranked body pages, texts joined by page."""
+    keys = doc_keys(pages)
+    schema = ", ".join(f"{c} string" for c in keys) + ", page_no int, rank double, positions array<int>, text string, words array<string>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = [(snippet(t, list(p)), list(dict.fromkeys(w for w, m in spans(t, list(p)) if m))) for t, p in zip(f["text"], f["positions"])]
-            yield pd.DataFrame({"doc": f["doc"], "page_no": f["page_no"], "rank": f["rank"], "text": [m[0] for m in made], "words": [m[1] for m in made]})
+            yield f.assign(text=[m[0] for m in made], words=[m[1] for m in made])
+
+    rows = pages.where("page_no > 0").join(texts.select(*keys, "page_no", "text"), [*keys, "page_no"])
+    return rows.select(*keys, "page_no", "rank", "positions", "text", F.array().cast("array<string>").alias("words")).mapInPandas(run, schema)
 
-    rows = pages.where("page_no > 0").join(texts.select("doc", "page_no", "text"), ["doc", "page_no"])
-    return rows.select("doc", "page_no", "rank", "positions", "text").mapInPandas(run, "doc string, page_no int, rank double, text string, words array<string>")
 
+def summaries(shown: DataFrame, best: int = 3, lowest: bool = False, by_id: bool = False) -> DataFrame:
+    """(source, doc, summary, found_words): a few pages' snippets and all marked words.
 
-def summaries(shown: DataFrame, best: int = 3, lowest: bool = False) -> DataFrame:
-    """(doc, summary, found_words): a few pages' snippets in page order, and all marked words."""
+    The snippets come in page order; ``by_id`` orders page numbers as text, as the original does.
+    """
+    keys = doc_keys(shown)
     order = F.col("rank").asc() if lowest else F.col("rank").desc()
-    chosen = shown.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(order, "page_no"))).where(F.col("r") <= best)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), " ... ")
-    found = shown.select("doc", F.explode("words").alias("w")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list("w")).alias("found_words"))
-    return chosen.groupBy("doc").agg(text.alias("summary")).join(found, "doc", "left")
+    chosen = shown.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "page_no"))).where(F.col("r") <= best)
+    place = F.col("page_no").cast("string") if by_id else F.col("page_no")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), "text"))), lambda x: x["text"]), " ... ")
+    found = shown.select(*keys, F.explode("words").alias("w")).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("w")).alias("found_words"))
+    return chosen.groupBy(*keys).agg(text.alias("summary")).join(found, keys, "left")
+
+
+def headers(pages: DataFrame) -> DataFrame:
+    """(source, doc, headers): each document's header lines as a map; the first of equal keys counts."""
+    keys = doc_keys(pages)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.contains("="))
+    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=", "").alias("v")))
+    first = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["k"]), x["k"]) == i + 1)
+    return pages.where("page_no = 0").select(*keys, F.map_from_entries(first).alias("headers"))

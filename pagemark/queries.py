@@ -135,7 +135,7 @@ def text_pages(spark, d):
 
 @_query(f"WITH {_PAGES},\n{_BODY} SELECT doc, page_no, pos, word FROM every")
 def tokenize_positions(spark, d):
-    return index.tokens(document_pages(spark, d), lengths=False)
+    return index.tokens(document_pages(spark, d), lengths=False).select("doc", "page_no", "pos", "word")
 
 
 @_query(f"WITH {_PAGES},\n{_BODY} SELECT doc, count(*) AS kept, CAST(sum(pos) AS BIGINT) AS positions FROM tokens GROUP BY doc")
@@ -170,7 +170,7 @@ def posting_units(spark, d):
 
 @_query(f'WITH {_PAGES} SELECT doc, page_no, start, "end" FROM page_map')
 def page_map(spark, d):
-    return index.page_map(document_pages(spark, d))
+    return index.page_map(document_pages(spark, d)).select("doc", "page_no", "start", "end")
 
 
 @_query(f'{_INDEX} SELECT p.doc, p.coord, m.page_no FROM postings p JOIN page_map m ON p.doc = m.doc AND p.coord >= m.start AND p.coord < m."end" WHERE p.term = \'with\'')
@@ -245,9 +245,9 @@ def field_and_body(spark, d):
     return found.pages.groupBy("doc").agg(F.sum("n").alias("n"))
 
 
-@_query(f"{_INDEX},\n{search_sql('that with', 40)},\n{_RANKS} SELECT doc, n_pages, round(rank, 6) AS rank FROM doc_ranks WHERE regexp_matches(doc, '^1') OR regexp_matches(doc, '7$') ORDER BY doc_ranks.rank DESC, doc LIMIT 500")
+@_query(f"{_INDEX},\n{search_sql('that with', 40)},\n{_RANKS} SELECT doc, n_pages, round(rank, 6) AS rank FROM doc_ranks WHERE regexp_matches('documents:' || doc, '^documents:1') OR regexp_matches('documents:' || doc, '7$') ORDER BY doc_ranks.rank DESC, doc LIMIT 500")
 def doc_name_filter(spark, d):
-    return engine(spark, d).search("that with -filter:^1,7$", 40).docs.withColumn("rank", F.round("rank", 6))
+    return engine(spark, d).search("that with -filter:^documents:1,7$", 40).docs.select("doc", "n_pages", F.round("rank", 6).alias("rank"))
 
 
 @_query(f"{_INDEX},\n{search_sql('that with', 40)},\n{_RANKS} SELECT doc, page_no, n, round(rank, 6) AS rank FROM page_ranks")
@@ -257,12 +257,12 @@ def page_rank(spark, d):
 
 @_query(f"{_INDEX},\n{search_sql('that | with | lang')},\n{_RANKS} SELECT doc, n_pages, round(rank, 6) AS rank FROM doc_ranks")
 def doc_rank(spark, d):
-    return rank.doc_ranks(engine(spark, d).search("that | with | lang").pages).withColumn("rank", F.round("rank", 6))
+    return rank.doc_ranks(engine(spark, d).search("that | with | lang").pages).select("doc", "n_pages", F.round("rank", 6).alias("rank"))
 
 
 @_query(f"{_INDEX},\n{search_sql('that with', 40)},\n{_RANKS} SELECT doc, n_pages, round(rank, 6) AS rank FROM doc_ranks ORDER BY doc_ranks.rank DESC, doc LIMIT 500")
 def top_docs(spark, d):
-    return engine(spark, d).search("that with", 40).docs.withColumn("rank", F.round("rank", 6))
+    return engine(spark, d).search("that with", 40).docs.select("doc", "n_pages", F.round("rank", 6).alias("rank"))
 
 
 @_query(f"{_INDEX},\n{search_sql('the')},\n{_RANKS} SELECT doc, page_no, n FROM page_ranks ORDER BY doc, page_no LIMIT 100")

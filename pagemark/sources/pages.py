@@ -21,10 +21,15 @@ def header(pairs: dict[str, Column]) -> Column:
     return F.concat(*[F.coalesce(x, F.lit("")) for x in lines])
 
 
-def _paged(rows: DataFrame, bodies: Column) -> DataFrame:
-    """rows(source, doc, head, ...) with an array of body pages, to pages; one scan, no shuffle."""
-    every = rows.select("source", "doc", F.posexplode(F.concat(F.array("head"), bodies)).alias("page_no", "text"))
-    return every.select("source", "doc", "page_no", F.col("page_no").cast("string").alias("page_id"), "text")
+def _paged(rows: DataFrame, bodies: Column, size: int = PAGE_CHARS) -> DataFrame:
+    """rows(source, doc, head, ...) with an array of body pages, to pages; one scan, no shuffle.
+
+    All body pages but the last have ``size`` characters, so each page's start in the document
+    is known here.
+    """
+    every = rows.select("source", "doc", F.length("head").alias("first"), F.posexplode(F.concat(F.array("head"), bodies)).alias("page_no", "text"))
+    start = F.when(F.col("page_no") == 0, F.lit(0)).otherwise(F.col("first") + (F.col("page_no") - 1) * size).cast("long")
+    return every.select("source", "doc", "page_no", F.col("page_no").cast("string").alias("page_id"), "text", start.alias("start"))
 
 
 def from_rows(df: DataFrame, source: str, key: str, text: str | None, headers: list[str], size: int | None = PAGE_CHARS) -> DataFrame:
@@ -32,7 +37,7 @@ def from_rows(df: DataFrame, source: str, key: str, text: str | None, headers: l
     pairs = {"Name": F.col(key), "Source": F.lit(source), **{h: F.col(h) for h in headers if h != text}}
     rows = df.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("doc"), header(pairs).alias("head"), (F.coalesce(F.col(text).cast("string"), F.lit("")) if text else F.lit("")).alias("body"))
     bodies = F.array().cast("array<string>") if not text else cut_pages(F.col("body"), size) if size else F.array("body")
-    return _paged(rows, bodies)
+    return _paged(rows, bodies, size or PAGE_CHARS)
 
 
 def from_pages(df: DataFrame, source: str, doc: str, page: str, text: str) -> DataFrame:
