@@ -42,18 +42,41 @@ def typed_value(value: Column) -> Column:
     return F.when(value.try_cast("bigint").isNotNull(), "long").when(value.try_cast("decimal(38,10)").isNotNull(), "decimal").otherwise("string")
 
 
+def numeric_entities(text: Column) -> Column:
+    """``text`` with ``&#233;`` and ``&#xe9;`` as characters; numbers that are none stay."""
+    pattern = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+
+    def char(x: Column) -> Column:
+        code = F.when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(x, "([0-9]+)", 1)).cast("long")
+        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(32).cast("long"))), 8, "0")), "UTF-32")).otherwise(x)
+
+    parts = F.split(text, pattern, -1)
+    joined = F.array_join(F.zip_with(parts, F.transform(found, char), lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.when(F.size(found) > 0, joined).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page: no scripts, styles, comments or tags; images' alt texts stay."""
     x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r'(?is)<img\b[^>]*?\balt="([^"]*)"[^>]*>', " $1 ")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    x = numeric_entities(x)
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
     x = F.regexp_replace(x, r"[ \t\r]*\n[ \t\r\n]*", "\n")
     return F.btrim(F.regexp_replace(x, r"[ \t]+", " "), F.lit(" \n\r\t"))
 
 
+def html_author(html: Column) -> Column:
+    """The content of the meta tag named Author, or null."""
+    tag = F.regexp_extract(html, r"""(?is)(<meta\b[^>]*\bname=["']?author\b[^>]*>)""", 1)
+    value = F.btrim(F.regexp_replace(F.regexp_extract(tag, r"""(?is)\bcontent=["']([^"']*)["']""", 1), r"[\n=]", " "))
+    return F.when(value != "", value)
+
+
 def html_title(html: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"[\n=]", " "))
 

@@ -302,6 +302,46 @@ def search_json(spark, d):
     return e.json(e.search("that with", 40))
 
 
+_TWO = _INDEX.replace("FROM documents)", """FROM documents UNION ALL
+  SELECT 'benchmark:' || item_id, coalesce(text, ''), 'Name=' || item_id || chr(10) || 'Source=benchmark' || chr(10) FROM benchmark)""").replace("CAST(doc_id AS VARCHAR) AS doc", "'documents:' || doc_id AS doc")
+
+
+@_query(f"{_TWO},\n{search_sql('that with', 40)}\nSELECT doc, count(*) AS n, CAST(sum(coord) AS BIGINT) AS coords FROM q_hits GROUP BY doc")
+def two_sources(spark, d):
+    """Documents of two sources have the same names here, and stay apart."""
+    other = sources.from_rows(table(spark, d, "benchmark"), "benchmark", "item_id", "text", [])
+    hits = Engine.build(document_pages(spark, d).union(other), stems=False).search("that with", 40).hits
+    return hits.groupBy(F.concat_ws(":", "source", "doc").alias("doc")).agg(F.count(F.lit(1)).alias("n"), F.sum("coord").alias("coords"))
+
+
+def _near_fields(a: tuple[str, str], b: tuple[str, str], r: int) -> str:
+    one = lambda key, word, flag: f"SELECT m.doc, unnest([m.coord, p.coord]) AS coord, {flag} FROM postings m JOIN postings p ON m.doc = p.doc AND p.coord = m.coord + 1 WHERE m.term = '&{key}' AND p.term = '{word}'"
+    return f"""u AS (SELECT doc, coord, bool_or(a) AS a, bool_or(b) AS b FROM ({one(*a, 'true AS a, false AS b')} UNION ALL {one(*b, 'false, true')}) GROUP BY doc, coord),
+g AS (SELECT *, coord - lag(coord) OVER (PARTITION BY doc ORDER BY coord) AS gap FROM u),
+i AS (SELECT *, sum(CASE WHEN gap > {r} THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY coord) AS isl FROM g)
+SELECT DISTINCT doc FROM (SELECT doc FROM i GROUP BY doc, isl HAVING bool_or(a) AND bool_or(b))"""
+
+
+@_query(f"{_INDEX},\n{_near_fields(('lang', 'en'), ('source', 'src3'), 9)}")
+def two_fields(spark, d):
+    """Both fields, near each other in the header page."""
+    return engine(spark, d).search("{lang=en} {source=src3}", 5).docs.select("doc")
+
+
+@_query(f"""{_INDEX},\n{search_sql('that with', 40)},\n{_RANKS},
+best AS (SELECT * FROM doc_ranks ORDER BY rank DESC, doc LIMIT 500),
+shown AS (SELECT doc, page_no, string_agg(pos, ' ' ORDER BY pos) AS at FROM q_hits WHERE page_no > 0 GROUP BY doc, page_no)
+SELECT b.doc AS doc, round(b.rank, 6) AS rank, 'Lang=' || lang || ';Name=' || b.doc || ';Source=documents;source=' || source AS headers, s.pages AS pages
+FROM best b JOIN documents d ON b.doc = CAST(d.doc_id AS VARCHAR) LEFT JOIN (SELECT doc, string_agg(page_no || ':' || at, ';' ORDER BY page_no) AS pages FROM shown GROUP BY doc) s ON s.doc = b.doc""")
+def search_documents(spark, d):
+    """Headers and positions of a search's documents, which its answer holds."""
+    e = engine(spark, d)
+    full = e.documents(e.search("that with", 40))
+    heads = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ";")
+    places = F.array_join(F.transform("pages", lambda p: F.concat(p["page_no"].cast("string"), F.lit(":"), F.array_join(F.transform(p["positions"], lambda x: x.cast("string")), " "))), ";")
+    return full.select("doc", F.round("rank", 6).alias("rank"), heads.alias("headers"), places.alias("pages"))
+
+
 # -- headers, rows, markup --------------------------------------------------------------------
 
 
