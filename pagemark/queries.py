@@ -330,9 +330,9 @@ def two_fields(spark, d):
 
 @_query(f"""{_INDEX},\n{search_sql('that with', 40)},\n{_RANKS},
 best AS (SELECT * FROM doc_ranks ORDER BY rank DESC, doc LIMIT 500),
-shown AS (SELECT doc, page_no, string_agg(pos, ' ' ORDER BY pos) AS at FROM q_hits WHERE page_no > 0 GROUP BY doc, page_no)
+shown AS (SELECT doc, page_no, string_agg(pos, ' ' ORDER BY pos) AS places FROM q_hits WHERE page_no > 0 GROUP BY doc, page_no)
 SELECT b.doc AS doc, round(b.rank, 6) AS rank, 'Lang=' || lang || ';Name=' || b.doc || ';Source=documents;source=' || source AS headers, s.pages AS pages
-FROM best b JOIN documents d ON b.doc = CAST(d.doc_id AS VARCHAR) LEFT JOIN (SELECT doc, string_agg(page_no || ':' || at, ';' ORDER BY page_no) AS pages FROM shown GROUP BY doc) s ON s.doc = b.doc""")
+FROM best b JOIN documents d ON b.doc = CAST(d.doc_id AS VARCHAR) LEFT JOIN (SELECT doc, string_agg(page_no || ':' || places, ';' ORDER BY page_no) AS pages FROM shown GROUP BY doc) s ON s.doc = b.doc""")
 def search_documents(spark, d):
     """Headers and positions of a search's documents, which its answer holds."""
     e = engine(spark, d)
