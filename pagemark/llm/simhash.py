@@ -206,6 +206,8 @@ FIRST, RADIUS = (24, 27), (121, 140)
 LEVELS = (0.5, 0.65, 0.8, 1.0)
 #: Largest tile of wide fingerprints, and tiles aimed at for each size of set below that.
 WIDE_TILE, WIDE_AIM = 1 << 16, 8
+#: Largest sum of whole sets in a tile (one larger set goes alone).
+TILE_BYTES = 32 << 20
 _MIX = np.random.default_rng(5).integers(0, 1 << 64, (2, WIDE), dtype=np.uint64) | np.uint64(1)
 
 
@@ -245,8 +247,8 @@ def wide_prints(sets: list[np.ndarray]) -> list[bytes]:
     return [row.tobytes() for row in out]
 
 
-def _close(a: np.ndarray, b: np.ndarray, first: int, radius: int, labels: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in ``a``, in ``b``) of pairs within both radii and with different labels.
+def _close(a: np.ndarray, b: np.ndarray, first: int, above: int, radius: int, labels: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in ``a``, in ``b``) of pairs within both radii, over ``above`` bits apart, with different labels.
 
     ``labels`` are those of ``a`` and then those of ``b``, and may change between two results.
     Rows are in order of their number of set bits; stretches too far apart are passed over.
@@ -273,17 +275,19 @@ def _close(a: np.ndarray, b: np.ndarray, first: int, radius: int, labels: np.nda
             p, q = p[good], q[good]
             for lo in range(0, len(p), 65536):
                 u, v = p[lo : lo + 65536], q[lo : lo + 65536]
-                near = np.bitwise_count(a[u] ^ b[v]).sum(axis=1, dtype=np.int64) <= radius
+                apart = np.bitwise_count(a[u] ^ b[v]).sum(axis=1, dtype=np.int64)
+                near = (apart <= radius) & (apart > above)
                 if near.any():
                     yield u[near], v[near]
 
 
-def _wide_links(a: np.ndarray, b: np.ndarray, roots: np.ndarray, first: int, radius: int, same: bool, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within the radii whose ``roots`` differ: all, or a spanning forest of them."""
+def _wide_links(a: np.ndarray, b: np.ndarray, roots: np.ndarray, first: int, radius: int, same: bool, check: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within the radii: a forest that spans what they connect beside equal ``roots``.
+
+    ``check(p, qs)`` says which of the pairs are links; without it all are. Closer pairs come
+    first, so a bunch is mostly linked before its further pairs would be looked at.
+    """
     labels = np.unique(roots, return_inverse=True)[1]
-    if not forest:
-        found = list(_close(a, b, first, radius, labels, same))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
     parent = np.arange(labels.max(initial=-1) + 1)
     shift = 0 if same else len(a)
 
@@ -294,40 +298,72 @@ def _wide_links(a: np.ndarray, b: np.ndarray, roots: np.ndarray, first: int, rad
         return x
 
     out: list[tuple[int, int]] = []
+
+    def link(u: np.ndarray, v: np.ndarray) -> None:
+        before = len(out)
+        for p, q in zip(u.tolist(), v.tolist()):
+            s, t = top(labels[p]), top(labels[shift + q])
+            if s != t:
+                parent[max(s, t)] = min(s, t)
+                out.append((p, q))
+        if len(out) > before:
+            while (parent != parent[parent]).any():
+                parent[:] = parent[parent]
+            labels[:] = parent[labels]
+
+    above = -1
     for level in LEVELS:
-        for u, v in _close(a, b, first, int(radius * level), labels, same):
-            fresh = labels[u] != labels[shift + v]
-            before = len(out)
-            for p, q in zip(u[fresh].tolist(), v[fresh].tolist()):
-                s, t = top(labels[p]), top(labels[shift + q])
-                if s != t:
-                    parent[max(s, t)] = min(s, t)
-                    out.append((p, q))
-            if len(out) > before:
-                while (parent != parent[parent]).any():
-                    parent[:] = parent[parent]
-                labels[:] = parent[labels]
+        for u, v in _close(a, b, first, above, int(radius * level), labels, same):
+            if check is None:
+                link(u, v)
+                continue
+            order = np.argsort(u, kind="stable")
+            u, v = u[order], v[order]
+            for p, qs in zip(*(lambda x, at: (x.tolist(), np.split(v, at[1:])))(*np.unique(u, return_index=True))):
+                qs = qs[labels[p] != labels[shift + qs]]
+                if len(qs) and len(qs := qs[check(p, qs)]):
+                    link(np.full(len(qs), p), qs)
+        above = int(radius * level)
     return tuple(np.array(out, dtype=np.int64).reshape(-1, 2).T)
 
 
-def near_candidates(nodes: DataFrame, forest: bool) -> DataFrame:
-    """(u, v), u the greater: pairs of ``nodes(node, n, bits, root)`` that may be near copies.
+def _alike(a: list[np.ndarray], b: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether the set ``a[p]`` has a Jaccard of NEAR or more with each ``b[q]``; sets ascend."""
+    few, many = NEAR
+
+    def check(p: int, qs: np.ndarray) -> np.ndarray:
+        mine, others = a[p], [b[q] for q in qs.tolist()]
+        sizes = np.fromiter(map(len, others), np.int64, len(others))
+        every = np.concatenate(others)
+        same = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+        shared = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+        return shared * many >= (len(mine) + sizes - shared) * few
+
+    return check
+
 
-    Only pairs with different roots count; with ``forest``, enough of the pairs of each two tiles
-    to connect all that they connect, so a bunch of near copies gives no quadratic output. Sets
-    whose sizes differ by more than a quarter cannot reach NEAR, so nodes are put into tiles by
-    the logarithm of their size, and meet those of the sizes next to theirs; the counts of some
-    dozens of sizes reach the driver.
+def near_candidates(nodes: DataFrame, whole: bool = False) -> DataFrame:
+    """(u, v), u the greater: a forest of pairs of ``nodes(node, n, bits, root)`` that may be near copies.
+
+    Enough of the pairs of each two tiles to connect all that they connect, beside equal roots,
+    so a bunch of near copies gives no quadratic output. With ``whole``, nodes have their sets
+    (items) too, and only pairs that these confirm count. Sets whose sizes differ by more than a
+    quarter cannot reach NEAR, so nodes are put into tiles by the logarithm of their size, and
+    meet those of the sizes next to theirs; tiles are bounded in rows and bytes, and the counts
+    of some dozens of sizes reach the driver.
     """
     few, many = NEAR
-    sized = nodes.where("n > 0").withColumn("p", F.floor(F.log(F.col("n").cast("double")) / float(np.log(many / few))).cast("int"))
-    sizes = {r["p"]: r["n"] for r in sized.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    top = max(sizes, default=0) + 2
-    subs = [-(-sizes.get(p, 0) // max(1, min(WIDE_TILE, max(4096, -(-sizes.get(p, 0) // WIDE_AIM))))) for p in range(top)]
+    names = ["node", "n", "bits", "root", *["items"] * whole]
+    sized = nodes.where("n > 0").select(*names, F.floor(F.log(F.col("n").cast("double")) / float(np.log(many / few))).cast("int").alias("p"))
+    sizes = {r["p"]: (r["k"], r["n"]) for r in sized.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()}
+    subs = []
+    for p in range(max(sizes, default=0) + 2):
+        k, n = sizes.get(p, (0, 0))
+        subs.append(max(-(-k // min(WIDE_TILE, max(4096, -(-k // WIDE_AIM)))) if k else 0, -(-8 * n // TILE_BYTES) if whole else 0))
     lit = "array(" + ",".join(map(str, subs)) + ")"
-    tiled = sized.selectExpr("node", "n", "bits", "root", "p", f"cast(pmod(xxhash64(node, 7), greatest({lit}[p], 1)) as int) AS s")
+    tiled = sized.selectExpr(*names, "p", f"cast(pmod(xxhash64(node, 7), greatest({lit}[p], 1)) as int) AS s")
     partners = f"flatten(transform(sequence(greatest(p - 1, 0), p + 1), q -> transform(sequence(0, {lit}[q]), r -> if(r < {lit}[q], q * 16777216L + r, -1L))))"
-    sent = tiled.selectExpr("node", "n", "bits", "root", "p * 16777216L + s AS t", f"explode(filter({partners}, x -> x >= 0)) AS o").selectExpr("least(t, o) AS ta", "greatest(t, o) AS tb", "t", "node", "n", "bits", "root")
+    sent = tiled.selectExpr(*names, "p * 16777216L + s AS t", f"explode(filter({partners}, x -> x >= 0)) AS o").selectExpr("least(t, o) AS ta", "greatest(t, o) AS tb", "t", *names)
 
     def kernel(key, table):  # no hints: Spark reads them
         ta, tb = key[0].as_py(), key[1].as_py()
@@ -340,58 +376,36 @@ def near_candidates(nodes: DataFrame, forest: bool) -> DataFrame:
             a = order[t[order] == ta]
             b = a if ta == tb else order[t[order] == tb]
             labels = roots[a] if ta == tb else roots[np.concatenate([a, b])]
-            p, q = _wide_links(bits[a], bits[b], labels, FIRST[tiny], RADIUS[tiny], ta == tb, forest)
+            check = None
+            if whole:
+                sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("items")]
+                check = _alike([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()])
+            p, q = _wide_links(bits[a], bits[b], labels, FIRST[tiny], RADIUS[tiny], ta == tb, check)
             u, v = names[a[p]], names[b[q]]
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
     return sent.groupBy("ta", "tb").applyInArrow(kernel, "u long, v long")
 
 
-def near_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets in ``sets(node, n, items)`` have a Jaccard of NEAR or more."""
-    few, many = NEAR
-    a, b = (sets.selectExpr(f"node AS {x}", f"n AS n{x}", f"items AS s{x}") for x in "uv")
-    # Sizes alone rule out pairs before any set is sent.
-    sized = pairs.join(a.select("u", "nu"), "u").join(b.select("v", "nv"), "v").where(f"least(nu, nv) * {many} >= greatest(nu, nv) * {few}").select("u", "v")
-    both = sized.join(a.select("u", "su"), "u").join(b.select("v", "sv"), "v").select("u", "v", "su", "sv")
-    small_batches(pairs.sparkSession)
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("su"), batch.column("sv")):
-                p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(shared * many >= (len(p) + len(q) - shared) * few)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(confirm, "u long, v long")
-
-
 def near_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the nodes that have near copies; root is the smallest node reachable.
 
     ``nodes(node, n, bits)`` holds each set of shingles once; ``sets`` gives (node, n, items) of
-    a table of nodes. Pairs of close fingerprints are candidates. First a spanning forest of them
-    is confirmed on the whole sets, closest pairs first, which joins large bunches without
-    quadratic output. Then the nodes that have any candidate are compared once more, and all
-    candidates between different classes are confirmed, so none is left open: it is compared on
-    the whole sets, or its ends are linked already.
+    a table of nodes. Pairs of close fingerprints are candidates. A first comparison finds the
+    nodes that have any; these meet once more with their whole sets, on which all candidates are
+    compared but those whose ends are linked already. No table grows with the square of a bunch:
+    two tiles give a forest.
     """
     spark = nodes.sparkSession
-    found = materialise(near_candidates(nodes.withColumn("root", F.col("node")), True).distinct(), "dedup-forest")
+    found = materialise(near_candidates(nodes.withColumn("root", F.col("node"))), "dedup-forest")
     touched = materialise(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "dedup-touched")
-    whole = materialise(sets(touched), "dedup-sets")
-    links = materialise(near_links(found, whole), "dedup-links")
+    some = nodes.select("node", "bits").join(touched, "node", "left_semi").join(sets(touched), "node").withColumn("root", F.col("node"))
+    some = materialise(some, "dedup-sets")
+    small_batches(spark)
+    links = materialise(near_candidates(some, whole=True), "dedup-links")
     roots = materialise(connected_components(links, "dedup-cc"), "dedup-roots")
-    again = materialise(nodes.join(touched, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "dedup-again")
-    cross = materialise(near_candidates(again, False).distinct().join(found, ["u", "v"], "left_anti"), "dedup-cross")
-    more = materialise(near_links(cross, whole), "dedup-more")
-    discard(spark, found, touched, whole, links, again, cross)
-    if more.isEmpty():
-        return roots
-    every = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
-    return materialise(connected_components(every, "dedup-cc"), "dedup-roots")
+    discard(spark, found, touched, some, links)
+    return roots
 
 
 def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:

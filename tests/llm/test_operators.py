@@ -144,6 +144,30 @@ def test_near_dedup_links_edited_copies(spark):
     assert kept == set(label.values()) and 25 <= len(kept) < len(texts) - 50
 
 
+def test_near_dedup_compares_families_below_the_limit(spark):
+    """Texts that share two thirds, with a few real links among them: classes as of all pairs, and no table of all pairs."""
+    rng = random.Random(5)
+    base = words(120, 77).split()
+    texts = []
+    for i in range(150):
+        texts.append(base[:85] + words(40, 9000 + i).split())
+        if i % 10 == 0:
+            texts.append([*texts[-1][:-3], "edited", "at", "end"])
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 5 * len(a & b) >= 4 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+    rows = [simhash.shingles([" ".join(t)])[0] for t in texts]
+    prints = np.array([np.frombuffer(x, np.uint64) for x in simhash.wide_prints(rows)])
+    got = simhash._wide_links(prints, prints, np.arange(len(texts)), simhash.FIRST[0], simhash.RADIUS[0], True, simhash._alike(rows, rows))
+    assert len(got[0]) == len(texts) - len(set(label)) and all(label[p] == label[q] for p, q in zip(*got))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == set(label)
+
+
 def repeats(w):
     c = Counter(zip(w, w[1:], w[2:]))
     hit = set()
