@@ -324,8 +324,8 @@ SELECT DISTINCT doc FROM (SELECT doc FROM i GROUP BY doc, isl HAVING bool_or(a)
 
 @_query(f"{_INDEX},\n{_near_fields(('lang', 'en'), ('source', 'src3'), 9)}")
 def two_fields(spark, d):
-    """Both fields, near each other in the header page."""
-    return engine(spark, d).search("{lang=en} {source=src3}", 5).docs.select("doc")
+    """Every document with both fields near each other in the header page; ``docs`` would show the best 500 only."""
+    return engine(spark, d).search("{lang=en} {source=src3}", 5).pages.select("doc").distinct()
 
 
 @_query(f"""{_INDEX},\n{search_sql('that with', 40)},\n{_RANKS},

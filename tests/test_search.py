@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from pagemark import queries
 from pagemark.engine import Engine
 from pagemark.functions.stem import stem_en, stem_word
 from pagemark.functions.stem_more import stem_de, stem_ru
@@ -179,3 +180,11 @@ def test_page_map_covers_each_document(engine):
     rows = sorted(index.page_map(engine.pages).collect())
     for a, b in zip(rows, rows[1:]):
         assert b.start == (a.end if a.doc == b.doc else 0)
+
+
+def test_two_fields_gives_every_document(spark, tmp_path):
+    """More documents than an answer shows (500), and some that lack a field."""
+    rows = [(i, "word", ("en", "de", None)[i % 3], ("src3", "src4")[i % 2]) for i in range(3300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.doc for r in queries.two_fields(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(str(i) for i in range(0, 3300, 6)) and len(got) == 550
