@@ -2,8 +2,9 @@
 
 Fingerprints meet in pairs of tiles, are compared by exclusive-or and bit counts, and tiles whose
 counts of set bits are too far apart are skipped. ``op1_simhash`` is the contract on 64 bits. The
-pipeline's ``near_dedup`` compares fingerprints of 512 bits, wide enough to tell a Jaccard of 0.8
-apart, and confirms each link on the whole sets of shingles.
+pipeline's ``near_dedup`` groups sets that share a band of minima, compares fingerprints of 512
+bits within groups, wide enough to tell a Jaccard of 0.8 apart, and confirms each link on the
+whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -204,11 +205,15 @@ TINY = 6
 FIRST, RADIUS = (24, 27), (121, 140)
 #: Steps of the radius: closer pairs are linked first, which are the likelier to be confirmed.
 LEVELS = (0.5, 0.65, 0.8, 1.0)
-#: Largest tile of wide fingerprints, and tiles aimed at for each size of set below that.
-WIDE_TILE, WIDE_AIM = 1 << 16, 8
-#: Largest sum of whole sets in a tile (one larger set goes alone).
-TILE_BYTES = 32 << 20
+#: Bands of minima and minima in a band: at a Jaccard of 0.8 two sets share no band with a chance
+#: of (1 - 0.8^4)^28 = 4e-7.
+BANDS, MINIMA = 28, 4
+#: Largest number of sets in a tile, and largest sum of whole sets (one larger set goes alone).
+WIDE_TILE, TILE_BYTES = 1 << 16, 32 << 20
+#: Bytes of whole sets aimed at in a bin of smaller groups.
+BIN_BYTES = 8 << 20
 _MIX = np.random.default_rng(5).integers(0, 1 << 64, (2, WIDE), dtype=np.uint64) | np.uint64(1)
+_ORDERS = np.random.default_rng(6).integers(0, 1 << 64, (2, BANDS * MINIMA), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(texts: list[str], words: int = 5) -> list[np.ndarray]:
@@ -247,6 +252,32 @@ def wide_prints(sets: list[np.ndarray]) -> list[bytes]:
     return [row.tobytes() for row in out]
 
 
+def bands(sets: list[np.ndarray]) -> list[list[int]]:
+    """For each set BANDS names, each made of the minima in MINIMA orders of its hashes; none for an empty set.
+
+    Two sets have the same minimum in an order with a chance of their Jaccard.
+    """
+    out: list[list[int]] = [[] for _ in sets]
+    there = [k for k, s in enumerate(sets) if len(s)]
+    if not there:
+        return out
+    every = np.concatenate([sets[k] for k in there])
+    counts = np.array([len(sets[k]) for k in there], dtype=np.int64)
+    starts = np.cumsum(counts) - counts
+    names = np.empty((len(there), BANDS), dtype=np.uint64)
+    order = np.empty_like(every)
+    for b in range(BANDS):
+        name = np.full(len(there), b + 1, dtype=np.uint64)
+        for k in range(b * MINIMA, (b + 1) * MINIMA):
+            np.multiply(every, _ORDERS[0, k], out=order)
+            name = (name ^ np.minimum.reduceat(order, starts)) * _ORDERS[1, k]
+            name ^= name >> np.uint64(32)
+        names[:, b] = name
+    for k, row in zip(there, names.view(np.int64).tolist()):
+        out[k] = row
+    return out
+
+
 def _close(a: np.ndarray, b: np.ndarray, first: int, above: int, radius: int, labels: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (in ``a``, in ``b``) of pairs within both radii, over ``above`` bits apart, with different labels.
 
@@ -342,69 +373,79 @@ def _alike(a: list[np.ndarray], b: list[np.ndarray]) -> Callable[[int, np.ndarra
     return check
 
 
-def near_candidates(nodes: DataFrame, whole: bool = False) -> DataFrame:
-    """(u, v), u the greater: a forest of pairs of ``nodes(node, n, bits, root)`` that may be near copies.
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """(node, root): the groups that shared bands make of ``nodes(node, bands)``, without lone nodes.
 
-    Enough of the pairs of each two tiles to connect all that they connect, beside equal roots,
-    so a bunch of near copies gives no quadratic output. With ``whole``, nodes have their sets
-    (items) too, and only pairs that these confirm count. Sets whose sizes differ by more than a
-    quarter cannot reach NEAR, so nodes are put into tiles by the logarithm of their size, and
-    meet those of the sizes next to theirs; tiles are bounded in rows and bytes, and the counts
-    of some dozens of sizes reach the driver.
+    A band links each of its nodes to the smallest, so the links are at most BANDS a node,
+    however many nodes share a band.
+    """
+    spark = nodes.sparkSession
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = materialise(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "hub"), "dedup-bands")
+    star = materialise(banded.join(shared, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "dedup-star")
+    groups = materialise(connected_components(star, "dedup-group"), "dedup-groups")
+    discard(spark, shared, star)
+    return groups
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """(u, v), u the greater: a forest of the near copies among ``nodes(node, n, bits, items, grp)`` of a group.
+
+    Each set goes to one bin, with all of its group, and is sent once. Only a group above
+    WIDE_TILE sets or TILE_BYTES is cut into tiles: sets whose sizes differ by more than a
+    quarter cannot reach NEAR, so its sets are put into tiles by the logarithm of their size,
+    bounded in rows and bytes, and meet those of the sizes next to theirs. There are few such
+    groups (less than the bytes of all sets over TILE_BYTES, or sets over WIDE_TILE). Two tiles
+    give enough links to connect all that they connect.
     """
     few, many = NEAR
-    names = ["node", "n", "bits", "root", *["items"] * whole]
-    sized = nodes.where("n > 0").select(*names, F.floor(F.log(F.col("n").cast("double")) / float(np.log(many / few))).cast("int").alias("p"))
-    sizes = {r["p"]: (r["k"], r["n"]) for r in sized.groupBy("p").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).collect()}
-    subs = []
-    for p in range(max(sizes, default=0) + 2):
-        k, n = sizes.get(p, (0, 0))
-        subs.append(max(-(-k // min(WIDE_TILE, max(4096, -(-k // WIDE_AIM)))) if k else 0, -(-8 * n // TILE_BYTES) if whole else 0))
-    lit = "array(" + ",".join(map(str, subs)) + ")"
-    tiled = sized.selectExpr(*names, "p", f"cast(pmod(xxhash64(node, 7), greatest({lit}[p], 1)) as int) AS s")
-    partners = f"flatten(transform(sequence(greatest(p - 1, 0), p + 1), q -> transform(sequence(0, {lit}[q]), r -> if(r < {lit}[q], q * 16777216L + r, -1L))))"
-    sent = tiled.selectExpr(*names, "p * 16777216L + s AS t", f"explode(filter({partners}, x -> x >= 0)) AS o").selectExpr("least(t, o) AS ta", "greatest(t, o) AS tb", "t", *names)
+    names = ["node", "n", "bits", "items"]
+    sized = nodes.where("n > 0").select("grp", *names, F.floor(F.log(F.col("n").cast("double")) / float(np.log(many / few))).cast("int").alias("p"))
+    sizes = sized.groupBy("grp", "p").agg(F.count(F.lit(1)).alias("k"), F.sum(8 * F.col("n")).alias("bytes"))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    bins = max(1, -(-total // BIN_BYTES))
+    tiles = F.collect_list(F.expr(f"struct(p, cast(ceil(greatest(k / {WIDE_TILE}, bytes / {TILE_BYTES})) as int) AS m)"))
+    large = sizes.groupBy("grp").agg(F.sum("k").alias("k"), F.sum("bytes").alias("bytes"), tiles.alias("tiles")).where(f"k > {WIDE_TILE} OR bytes > {TILE_BYTES}").select("grp", "tiles")
+    placed = sized.join(F.broadcast(large), "grp", "left").withColumn("m", F.expr("filter(tiles, x -> x.p = p)[0].m"))
+    placed = placed.selectExpr(*names, "p", "tiles", f"if(tiles IS NULL, pmod(xxhash64(grp), {bins}), grp) AS g", "if(tiles IS NULL, -1L, p * 16777216L + pmod(xxhash64(node, 7), m)) AS t")
+    partners = "flatten(transform(filter(tiles, x -> abs(x.p - p) <= 1), x -> transform(sequence(0, x.m - 1), r -> x.p * 16777216L + r)))"
+    sent = placed.selectExpr(*names, "g", "t", f"explode(if(tiles IS NULL, array(t), {partners})) AS o").selectExpr("g", "least(t, o) AS ta", "greatest(t, o) AS tb", "t", *names)
 
     def kernel(key, table):  # no hints: Spark reads them
-        ta, tb = key[0].as_py(), key[1].as_py()
-        t, names, roots = (table.column(c).to_numpy() for c in ("t", "node", "root"))
+        _, ta, tb = (k.as_py() for k in key)
+        t, names = (table.column(c).to_numpy() for c in ("t", "node"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").astype(np.uint64).reshape(-1, WIDE)
         u = v = np.empty(0, np.int64)
-        if len(names) and (ta == tb or ((t == ta).any() and (t == tb).any())):
+        if ta == tb or ((t == ta).any() and (t == tb).any()):
             tiny = int(table.column("n").to_numpy().min() <= TINY)
             order = np.argsort(np.bitwise_count(bits).sum(axis=1, dtype=np.int64), kind="stable")
             a = order[t[order] == ta]
             b = a if ta == tb else order[t[order] == tb]
-            labels = roots[a] if ta == tb else roots[np.concatenate([a, b])]
-            check = None
-            if whole:
-                sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("items")]
-                check = _alike([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()])
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("items")]
+            check = _alike([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()])
+            labels = names[a] if ta == tb else names[np.concatenate([a, b])]
             p, q = _wide_links(bits[a], bits[b], labels, FIRST[tiny], RADIUS[tiny], ta == tb, check)
             u, v = names[a[p]], names[b[q]]
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    return sent.groupBy("ta", "tb").applyInArrow(kernel, "u long, v long")
+    return sent.groupBy("g", "ta", "tb").applyInArrow(kernel, "u long, v long")
 
 
 def near_classes(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of the nodes that have near copies; root is the smallest node reachable.
 
-    ``nodes(node, n, bits)`` holds each set of shingles once; ``sets`` gives (node, n, items) of
-    a table of nodes. Pairs of close fingerprints are candidates. A first comparison finds the
-    nodes that have any; these meet once more with their whole sets, on which all candidates are
-    compared but those whose ends are linked already. No table grows with the square of a bunch:
-    two tiles give a forest.
+    ``nodes(node, bands)`` holds each set of shingles once; ``sets`` gives (node, n, bits, items)
+    of a table of nodes. Shared bands make groups, and only nodes that have a group are compared,
+    within it and on their whole sets. No table grows with the square of a bunch: a band gives a
+    star, a bin or two tiles a forest.
     """
     spark = nodes.sparkSession
-    found = materialise(near_candidates(nodes.withColumn("root", F.col("node"))), "dedup-forest")
-    touched = materialise(found.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "dedup-touched")
-    some = nodes.select("node", "bits").join(touched, "node", "left_semi").join(sets(touched), "node").withColumn("root", F.col("node"))
-    some = materialise(some, "dedup-sets")
+    groups = candidate_groups(nodes)
+    some = materialise(sets(groups.select("node")).join(groups.withColumnRenamed("root", "grp"), "node"), "dedup-sets")
     small_batches(spark)
-    links = materialise(near_candidates(some, whole=True), "dedup-links")
+    links = materialise(near_links(some), "dedup-links")
     roots = materialise(connected_components(links, "dedup-cc"), "dedup-roots")
-    discard(spark, found, touched, some, links)
+    discard(spark, groups, some, links)
     return roots
 
 
@@ -413,8 +454,9 @@ def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Two texts are linked if their sets of ``words``-word shingles (words by ASCII white space,
     in ASCII lower case) have a Jaccard of NEAR or more; a class is all that links reach.
-    Fingerprints of the sets, compared tile by tile, give the candidates (a pair at 0.8 is missed
-    with a chance of about 1e-5), and each link is confirmed on the whole sets. Null and empty
+    Shared bands of minima group the sets, fingerprints compared within groups give the candidates
+    (a pair at 0.8 is missed with a chance of about 1e-5, of which the bands have 4e-7), and each
+    link is confirmed on the whole sets. Null and empty
     texts (and those of white space) are one class. The row with the smallest doc_id stays
     (numbers first, then other doc_ids as text, null last; ties by the text's hash), and rows
     with that same doc_id and text count as one. An empty table stays empty; columns of any name
@@ -428,21 +470,21 @@ def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def sketch(texts: list[str]) -> dict[str, list]:
         sets = shingles(texts, words)
-        return {"node": set_keys(sets), "n": [len(s) for s in sets], "bits": wide_prints(sets)}
+        return {"node": set_keys(sets), "bands": bands(sets)}
 
     def whole(texts: list[str]) -> dict[str, list]:
         sets = shingles(texts, words)
-        return {"node": set_keys(sets), "n": [len(s) for s in sets], "items": [s.tobytes() for s in sets]}
+        return {"node": set_keys(sets), "n": [len(s) for s in sets], "bits": wide_prints(sets), "items": [s.tobytes() for s in sets]}
 
-    rows = materialise(map_texts(plain, sketch, fields(node="long", n="long", bits="binary")), "dedup")
-    nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "dedup-nodes")
+    rows = materialise(map_texts(plain, sketch, fields(node="long", bands="longs")), "dedup")
+    nodes = materialise(rows.groupBy("node").agg(F.min("key").alias("rep"), F.any_value("bands").alias("bands")), "dedup-nodes")
 
     def sets_of(some: DataFrame) -> DataFrame:
         reps = nodes.join(some, "node", "left_semi").select(F.col("rep").alias("key"))
         chosen = plain.join(reps, "key", "left_semi").dropDuplicates(["key"])
-        return map_texts(chosen, whole, fields(node="long", n="long", items="binary")).drop("key")
+        return map_texts(chosen, whole, fields(node="long", n="long", bits="binary", items="binary")).drop("key")
 
-    roots = near_classes(nodes.select("node", "n", "bits"), sets_of)
+    roots = near_classes(nodes.select("node", "bands"), sets_of)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rep").alias("rep")).select("rep.i", "rep.d", "rep.h")
     held = placed.withColumns({k: key[k] for k in ("i", "d", "h")})
     one = held.join(kept, ["i", "d", "h"], "left_semi").dropDuplicates(["i", "d", "h"])

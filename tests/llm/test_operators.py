@@ -168,6 +168,66 @@ def test_near_dedup_compares_families_below_the_limit(spark):
     assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == set(label)
 
 
+def made_by_generate(spark, run):
+    """The largest number of rows that an explode made while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for k in range(before, store.executionsCount()):
+        done = store.executionsList(k, 1).head()
+        values, nodes = store.executionMetrics(done.executionId()), store.planGraph(done.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if node.name() == "Generate" and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_near_dedup_tables_grow_with_the_input(spark):
+    """Three times as many different texts of one size make three times the rows."""
+    rng = random.Random(31)
+    rows = [(i, " ".join("%x" % rng.getrandbits(24) for _ in range(60))) for i in range(12_000)]
+    made = []
+    for n in (4_000, 12_000):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        made.append(made_by_generate(spark, lambda d=docs: made.append(simhash.near_dedup(d).count())))
+    assert made[0] == 4_000 and made[2] == 12_000 and 0 < made[1] and made[3] <= 3.3 * made[1]
+
+
+def test_near_dedup_cuts_large_groups(spark, monkeypatch):
+    """A group above the limits is compared in tiles, with the classes of all pairs."""
+    monkeypatch.setattr(simhash, "WIDE_TILE", 12)
+    monkeypatch.setattr(simhash, "TILE_BYTES", 1 << 14)
+    base = words(150, 77).split()
+    texts = []
+    for i in range(120):  # a chain whose ends differ, of several sizes, and texts outside it
+        base[i % 140] = "edit%d" % i
+        texts.append(base + words(3 * (i % 7), 300 + i).split())
+        if i % 8 == 0:
+            texts.append(words(80 + i, 700 + i).split())
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    label = list(range(len(texts)))
+    while any(label[i] != label[j] for i, j in links):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == set(label) and len(set(label)) < len(texts) - 60
+
+
+def test_bands_agree_as_the_jaccard_says():
+    rng = np.random.default_rng(4)
+    every = rng.integers(0, 1 << 64, (400, 100), dtype=np.uint64)
+    pairs = [(np.sort(x[:90]), np.sort(x[10:])) for x in every]  # 80 of 100 in common
+    a, b = (np.array(simhash.bands([p[k] for p in pairs])) for k in (0, 1))
+    same = a == b
+    assert abs(same.mean() - 0.8**simhash.MINIMA) < 0.02 and same.any(axis=1).all()
+    assert simhash.bands([np.empty(0, np.uint64), pairs[0][0]]) == [[], a[0].tolist()] and simhash.bands([]) == []
+    assert not (np.array(simhash.bands([x for x in every])) == np.array(simhash.bands([x + np.uint64(1) for x in every]))).any()
+
+
 def repeats(w):
     c = Counter(zip(w, w[1:], w[2:]))
     hit = set()
